@@ -180,9 +180,12 @@ def payload_rules(cities: DataFrame, required: DataFrame | None = None, max_keys
         ((F.size(kept) > 0) & (flat >= flat_share * F.size(kept)), "too_flat", "error", flat)])
     if required is None:
         return rows
-    have = cities.select("entity_id", F.explode(F.concat(*[
-        F.transform(F.map_keys(m), lambda k, kind=kind: F.struct(F.lit(kind).alias("kind"), k.alias("feature")))
-        for m, kind in (("ingredients", "ing"), ("methods", "met"))])).alias("k")).select("entity_id", "k.kind", "k.feature")
+
+    def named(maps: str, kind: str) -> Column:
+        return F.transform(F.map_keys(maps), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("feature")))
+
+    have = cities.select("entity_id", F.explode(F.concat(named("ingredients", "ing"), named("methods", "met"))).alias(
+        "k")).select("entity_id", "k.kind", "k.feature")
     asked = scalar(required, F.collect_set(F.struct("kind", "feature")))  # a short fixed rule list
     missing = cities.select("entity_id", "group", F.explode(asked).alias("k")).select(
         "entity_id", "group", "k.kind", "k.feature").join(have, ["entity_id", "kind", "feature"], "left_anti")
