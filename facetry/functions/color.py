@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetry.runtime import clamp
+from facetry.runtime import clamp, let
 
 # Chroma and lightness ranges and the fallback colour.
 CHROMA_LOW, CHROMA_SPAN, CHROMA_HIGH = 0.10, 0.36, 0.46
@@ -67,9 +67,11 @@ def equalize_radius(value: Column, points: Column) -> Column:
 
     Values above the last point continue the last segment and may pass 1.
     """
-    upper = F.least(count_below(points, value), F.size(points) - 1)
-    rank = F.when(upper > 0, _between(points, upper, value)).otherwise(F.lit(0.0))
-    return F.when(value.isNotNull() & points.isNotNull(), rank)
+    def rank(v: Column) -> Column:
+        upper = F.least(count_below(points, v), F.size(points) - 1)
+        return let(upper, lambda u: F.when(u > 0, _between(points, u, v)).otherwise(F.lit(0.0)))
+
+    return F.when(value.isNotNull() & points.isNotNull(), let(value, rank))
 
 
 def equalize_angle(value: Column, points: Column) -> Column:
@@ -78,13 +80,14 @@ def equalize_angle(value: Column, points: Column) -> Column:
 
 def equalize_signed(value: Column, points: Column) -> Column:
     """Clamped rank, right-continuous where the CDF is flat."""
-    upper = count_below(points, value, inclusive=True)
     last = F.size(points) - 1
-    return (
-        F.when(value <= F.element_at(points, 1), F.lit(0.0))
-        .when(value >= F.element_at(points, -1), F.lit(1.0))
-        .otherwise(_between(points, F.least(upper, last), value))
-    )
+
+    def rank(v: Column) -> Column:
+        upper = F.least(count_below(points, v, inclusive=True), last)
+        return (F.when(v <= F.element_at(points, 1), F.lit(0.0)).when(v >= F.element_at(points, -1), F.lit(1.0))
+                .otherwise(let(upper, lambda u: _between(points, u, v))))
+
+    return let(value, rank)
 
 
 def hue_degrees(azimuth: Column, points: Column | None) -> Column:
@@ -119,36 +122,42 @@ def _in_gamut(light: Column, chroma: Column, cos_h: Column, sin_h: Column, eps:
     return inside[0] & inside[1] & inside[2]
 
 
-def fit_chroma(light: Column, chroma: Column, hue_deg: Column, eps: float = GAMUT_EPS) -> Column:
-    """Largest chroma (18 halvings) at which the colour is displayable."""
+def _polar(light: Column, chroma: Column, hue_deg: Column, body) -> Column:
+    """Run ``body`` on a struct (l, c, cos, sin) that is computed once."""
     hue = F.radians(hue_deg)
-    cos_h, sin_h = F.cos(hue), F.sin(hue)
+    return let(F.struct(light.alias("l"), chroma.alias("c"), F.cos(hue).alias("cos"), F.sin(hue).alias("sin")), body)
+
+
+def _fitted(p: Column, eps: float) -> Column:
+    fits = lambda chroma: _in_gamut(p["l"], chroma, p["cos"], p["sin"], eps)
 
     def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        ok = _in_gamut(light, mid, cos_h, sin_h, eps)
-        return F.struct(
-            F.when(ok, mid).otherwise(acc["lo"]).alias("lo"),
-            F.when(ok, acc["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("lo"), chroma.alias("hi"))
+        return let((acc["lo"] + acc["hi"]) / 2, lambda mid: let(fits(mid), lambda ok: F.struct(
+            F.when(ok, mid).otherwise(acc["lo"]).alias("lo"), F.when(ok, acc["hi"]).otherwise(mid).alias("hi"))))
+
+    start = F.struct(F.lit(0.0).alias("lo"), p["c"].alias("hi"))
     steps = F.array_repeat(F.lit(0), GAMUT_STEPS)
-    fitted = F.aggregate(steps, start, halve, lambda acc: acc["lo"])
-    return F.when(_in_gamut(light, chroma, cos_h, sin_h, eps), chroma).otherwise(fitted)
+    return F.when(fits(p["c"]), p["c"]).otherwise(F.aggregate(steps, start, halve, lambda acc: acc["lo"]))
+
+
+def fit_chroma(light: Column, chroma: Column, hue_deg: Column, eps: float = GAMUT_EPS) -> Column:
+    """Largest chroma (18 halvings) at which the colour is displayable."""
+    return _polar(light, chroma, hue_deg, lambda p: _fitted(p, eps))
 
 
 def _byte_hex(linear: Column) -> Column:
     x = clamp(linear, 0.0, 1.0)
-    encoded = F.when(x <= 0.0031308, 12.92 * x).otherwise(
-        1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055
-    )
+    encoded = F.when(x <= 0.0031308, 12.92 * x).otherwise(1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055)
     return F.lpad(F.lower(F.hex(F.bround(encoded * 255, 0).cast("int"))), 2, "0")
 
 
 def oklch_to_hex(light: Column, chroma: Column, hue_deg: Column, eps: float = GAMUT_EPS) -> Column:
-    rgb = oklch_to_linear_rgb(light, fit_chroma(light, chroma, hue_deg, eps), hue_deg)
-    return F.concat(F.lit("#"), *[_byte_hex(rgb[c]) for c in ("r", "g", "b")])
+    def text(p: Column) -> Column:
+        rgb = let(_fitted(p, eps), lambda c: F.array(*_linear_rgb(p["l"], c, p["cos"], p["sin"])))
+        return F.concat(F.lit("#"), F.array_join(F.transform(rgb, lambda v: _byte_hex(v)), ""))
+
+    known = light.isNotNull() & chroma.isNotNull() & hue_deg.isNotNull()
+    return F.when(known, _polar(light, chroma, hue_deg, text))
 
 
 def hex_channels(color: Column) -> list[Column]:
@@ -163,11 +172,15 @@ def _decode(channel: Column) -> Column:
     )
 
 
+def _mix(matrix, values: Column) -> Column:
+    return F.array(*[row[0] * values[0] + row[1] * values[1] + row[2] * values[2] for row in matrix])
+
+
 def hex_to_oklab(color: Column) -> Column:
-    rgb = [_decode(c) for c in hex_channels(color)]
-    lms = [F.cbrt(sum((k * c for k, c in zip(row[1:], rgb[1:])), row[0] * rgb[0])) for row in RGB_TO_LMS]
-    lab = [sum((k * c for k, c in zip(row[1:], lms[1:])), row[0] * lms[0]) for row in LMS_TO_LAB]
-    return F.struct(lab[0].alias("L"), lab[1].alias("a"), lab[2].alias("b"))
+    rgb = F.transform(F.array(*hex_channels(color)), lambda c: _decode(c))
+    lms = let(rgb, lambda v: F.transform(_mix(RGB_TO_LMS, v), lambda x: F.cbrt(x)))
+    lab = let(lms, lambda v: _mix(LMS_TO_LAB, v))
+    return let(lab, lambda v: F.struct(v[0].alias("L"), v[1].alias("a"), v[2].alias("b")))
 
 
 def oklab_to_hex(light: Column, a: Column, b: Column, eps: float = 0.0) -> Column:

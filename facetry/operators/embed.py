@@ -42,9 +42,9 @@ def mean_vector(vectors: DataFrame, vector_col: str = "vector") -> Column:
 
 def project(vectors: DataFrame, axes: np.ndarray, out_col: str, vector_col: str = "vector") -> DataFrame:
     """Centred coordinates on the given axes."""
-    centred = F.zip_with(F.col(vector_col).cast("array<double>"), mean_vector(vectors, vector_col), lambda a, m: a - m)
-    return vectors.withColumn("_centred", centred).withColumn(
-        out_col, F.transform(matrix_literal(axes), lambda axis: V.dot(F.col("_centred"), axis))).drop("_centred")
+    centred = F.zip_with(F.col(vector_col).cast("array<double>"), F.col("_mu"), lambda a, m: a - m)
+    return vectors.withColumn("_mu", mean_vector(vectors, vector_col)).withColumn("_centred", centred).withColumn(
+        out_col, F.transform(matrix_literal(axes), lambda axis: V.dot(F.col("_centred"), axis))).drop("_centred", "_mu")
 
 
 def dense_profile(profile: DataFrame, support: int = 1) -> DataFrame:
@@ -54,9 +54,9 @@ def dense_profile(profile: DataFrame, support: int = 1) -> DataFrame:
     cells = profile.join(catalog.select("kind", "feature", "feature_index"), ["kind", "feature"])
     maps = cells.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct(
         F.col("feature_index").cast("int").alias("i"), F.col("score").cast("double").alias("s")))).alias("_m"))
-    spread = F.transform(F.sequence(F.lit(0), (width - 1).cast("int")),
+    spread = F.transform(F.sequence(F.lit(0), F.col("_width") - 1),
                          lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return maps.select("entity_id", spread.alias("vector"))
+    return maps.withColumn("_width", width.cast("int")).select("entity_id", spread.alias("vector"))
 
 
 def pca_scores(vectors: DataFrame, k: int = 3, out_col: str = "scores", vector_col: str = "vector") -> tuple[DataFrame, np.ndarray]:
@@ -122,8 +122,8 @@ def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 10) ->
         # (A + I) / 2 keeps the order of eigenvalues and avoids sign flips
         state = _orthonormal(state.join(step, "i", "left").select(
             "i", "_root", *[((F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))) / 2).alias(n) for n in names]), names)
-    n = scalar(state, F.count(F.lit(1)))
-    return state.select(F.col("i").alias("entity_id"), F.array(*[F.col(c) * F.sqrt(n) for c in names]).alias("embedding"))
+    n = state.count()
+    return state.select(F.col("i").alias("entity_id"), F.array(*[F.col(c) * float(np.sqrt(n)) for c in names]).alias("embedding"))
 
 
 def _orthonormal(state: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -100,8 +100,8 @@ def dimension_coverage(profile: DataFrame, entities: DataFrame, dimensions: Data
     names = scalar(dimensions, F.array_sort(F.collect_set("dimension")))
     has = profile.where(F.col("score") > 0).join(dimensions.distinct(), "feature").groupBy("entity_id").agg(
         F.collect_set("dimension").alias("_has"))
-    rows = entities.select("entity_id", "group").join(has, "entity_id", "left").withColumn(
-        "_missing", F.array_except(names, F.coalesce("_has", F.array().cast("array<string>"))))
+    rows = entities.select("entity_id", "group").join(has, "entity_id", "left").withColumn("_names", names).withColumn(
+        "_missing", F.array_except("_names", F.coalesce("_has", F.array().cast("array<string>"))))
     n, listing = F.size("_missing"), F.concat_ws(",", "_missing")
     return _violations(rows, [
         (n >= fail_at, "dimension_gap", "error", listing), ((n > 0) & (n < fail_at), "dimension_gap", "warning", listing)])

@@ -50,3 +50,8 @@ def clamp(value: Column, low: float, high: float) -> Column:
 def total(agg: Column) -> Column:
     """Null-free sum for joins that may find no partner."""
     return F.coalesce(agg, F.lit(0.0))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
