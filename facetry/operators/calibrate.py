@@ -216,6 +216,6 @@ def max_min_colors(candidates: DataFrame, k: int, id_col: str = "id", color_col:
         row = best[0]
         taken.append((row[id_col], row[color_col], rank, None if rank == 1 else float(row["_gap"])))
         lab = F.struct(*[F.lit(float(row["_lab"][c])).alias(c) for c in ("L", "a", "b")])
-        state = state.withColumn("_gap", F.least("_gap", C.delta_e_ok(F.col("_lab"), lab)))
+        state = reliable(state.withColumn("_gap", F.least("_gap", C.delta_e_ok(F.col("_lab"), lab))))
     id_type = candidates.schema[id_col].dataType.simpleString()
     return candidates.sparkSession.createDataFrame(taken, f"{id_col} {id_type}, {color_col} string, rank int, min_delta_e double")

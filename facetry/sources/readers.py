@@ -26,10 +26,9 @@ def scan_profiles(spark: SparkSession, path: str, glob: str = "data.*.json") ->
     unit of parallelism.  Unreadable files are left to ``bad_files``.
     """
     docs = _documents(spark, path, glob).where(F.col("doc").isNotNull())
-    docs.createOrReplaceTempView("_facetry_docs")
     return spark.sql("""
         SELECT file, item.pos AS pos, item.value AS record
-        FROM _facetry_docs, LATERAL variant_explode(doc) AS item""")
+        FROM {docs}, LATERAL variant_explode(doc) AS item""", docs=docs)
 
 
 def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:

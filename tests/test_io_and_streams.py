@@ -61,3 +61,15 @@ def test_alias_audit(spark):
     rows = [("ing", "a", "b"), ("ing", "b", "c"), ("ing", "x", "y"), ("ing", "y", "x"), ("ing", "q", "r"), ("ing", "q", "s")]
     got = {(r.raw_key, r.finding) for r in quality.alias_audit(spark.createDataFrame(rows, "kind string, raw_key string, canonical string")).collect()}
     assert got == {("a", "chain"), ("x", "cycle"), ("y", "cycle"), ("q", "conflict")}
+
+
+def test_food_rules_on_the_fixed_lists(spark):
+    from facetry.sources import vocabulary as v
+    entities = spark.createDataFrame([(1, "IT"), (2, "JP")], "entity_id bigint, group string")
+    rows = [(1, "ing", f, 1.0) for f in ("taro", "beef", "garlic")] + [(2, "ing", f, 1.0) for f in ("rice", "egg", "butter", "onion")]
+    profile = spark.createDataFrame(rows, "entity_id bigint, kind string, feature string, score double")
+    found = lambda build: {(r.entity_id, r.severity, r.detail) for r in quality.dimension_coverage(
+        profile, entities, v.dimension_table(spark, build)).collect()}
+    assert found(False) == {(1, "warning", "fat")} and found(True) == {(1, "error", "fat,starch")}
+    assert {(r.entity_id, r.rule) for r in quality.regional_rules(profile, entities, v.regional_table(spark)).collect()} == {(1, "mediterranean_olive_oil")}
+    assert v.alias_table(spark).count() == 52
