@@ -227,10 +227,10 @@ def calibration(spark, sf):
 
 @query("recalibrate")
 def recalibrate(spark, sf):
-    """CDFs rebuilt from saved vectors: same axes, so the same fingerprint; no skipped rows."""
+    """CDFs rebuilt from saved vectors and the saved axes: sizes, skipped rows and the new fingerprint."""
     rows, cal = _full_build(spark, sf)
     again = calibrate.recalibrate(rows, cal)
-    return again.select("skipped", "hash", F.lit(cal.first()["hash"]).alias("before"))
+    return again.select("skipped", *[F.size(c).alias(c) for c in calibrate.CDF_COLUMNS], "hash")
 
 
 @query("calibrated_colors")

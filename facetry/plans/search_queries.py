@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -99,7 +99,7 @@ def payload_rules(spark, sf):
 @query("latest_event_per_user", """SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def latest_event_per_user(spark, sf):
     """Events read as a file stream; newest record per user from the written state."""
-    root = f"{checkpoint_dir(spark)}/{next(tempfile._get_candidate_names())}"
+    root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     schema = B.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -111,7 +111,7 @@ def latest_event_per_user(spark, sf):
 @query("extend_records")
 def extend_records(spark, sf):
     """Payload stream validated, canonicalised and stored; rows per store."""
-    root = f"{checkpoint_dir(spark)}/{next(tempfile._get_candidate_names())}"
+    root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     payloads(spark, sf).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("payload_id bigint, payload string").parquet(f"{root}/in")
     alias = spark.createDataFrame([("met", "size_0", "size_small")], "kind string, raw_key string, canonical string")
