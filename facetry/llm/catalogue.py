@@ -1,6 +1,6 @@
 """All queries of this folder and their SQL."""
 
-from facetry.llm import native_queries  # noqa: F401
+from facetry.llm import free_queries, native_queries  # noqa: F401
 from facetry.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
