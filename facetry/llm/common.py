@@ -50,6 +50,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap over 64-bit keys: a fixed 4 MB, whatever the data.
+BITMAP = 1 << 25
+
+
+def bitmap(rows: DataFrame, key: str):
+    """Broadcast bitmap with the bits of all keys set, built by a partial bit_or.
+
+    It spares rows without partner a shuffle; rows whose bit is set by chance only cost
+    that shuffle, so a full bitmap is slower and never wrong.
+    """
+    bit = F.pmod(key, F.lit(BITMAP))
+    words = rows.select(F.shiftright(bit, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({key}, {BITMAP}) % 32 AS INT))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(BITMAP >> 5, np.uint32)
+    bits[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % BITMAP
+    return (bits[at >> 5] >> (at % 32).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def arrays(batches: Iterator, *names: str) -> Iterator[tuple]:
     """Columns of each Arrow batch that has rows."""
     for batch in batches:

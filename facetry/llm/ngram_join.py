@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.common import stored
+from facetry.llm.common import bitmap, has_bit, stored
 from facetry.llm.components import components
 from facetry.llm.shingles import Hashes, set_key, shingle_sets, text_batches
 
@@ -18,8 +18,6 @@ from facetry.llm.shingles import Hashes, set_key, shingle_sets, text_batches
 FREQUENT = 1 << 18
 #: Sets compared in one prefix tree; larger buckets are cut into blocks.
 BLOCK = 512
-#: Bits of the bitmap that spares sets without any candidate the shuffle; a fixed 4 MB.
-BITMAP = 1 << 25
 
 
 def prefix_size(n: int | np.ndarray):
@@ -105,14 +103,14 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"hub": pa.array(pairs[0]), "sid": pa.array(pairs[1])})
 
 
-def _sets(order, bitmap):
+def _sets(order, wanted):
     """Rare shingles and frequent ranks of the sets whose bit is set, once a piece."""
     def run(batches):
-        cache, known, bits = Hashes(), order.value, bitmap.value
+        cache, known, bits = Hashes(), order.value, wanted.value
         for piece in text_batches(batches):
             done, out = set(), {"sid": [], "rare": [], "frequent": []}
             for own in shingle_sets(piece.column("text").to_pylist(), cache):
-                if not len(own) or (sid := set_key(own)) in done or not bits[(sid % BITMAP) >> 5] >> np.uint32(sid % 32) & np.uint32(1):
+                if not len(own) or (sid := set_key(own)) in done or not has_bit(bits, np.array([sid]))[0]:
                     continue
                 done.add(sid)
                 rare, frequent = known.split(own)
@@ -255,16 +253,6 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return full.repartition("hub", "block", "other").sortWithinPartitions("hub", "block", "other", "sid").mapInArrow(_join_buckets, "v long, u long")
 
 
-def _bitmap(spark: SparkSession, sids: DataFrame):
-    """Broadcast bitmap of the sets, of fixed size."""
-    bit = F.pmod("sid", F.lit(BITMAP))
-    words = sids.select(F.shiftright(bit, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(sid, {BITMAP}) % 32 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(BITMAP >> 5, np.uint32)
-    got = words.toArrow()
-    bits[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(bits)
-
-
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -292,7 +280,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     pairs = stored(pairs, "ngram-pairs")
     hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil((F.col("n") + 1) / BLOCK).cast("int"))
     survivors = pairs.select("sid").unionByName(pairs.select(F.col("hub").alias("sid")))
-    sets = stored(only.mapInArrow(_sets(order, _bitmap(spark, survivors)), "sid long, rare binary, frequent binary").dropDuplicates(["sid"]), "ngram-sets")
+    sets = stored(only.mapInArrow(_sets(order, bitmap(survivors, "sid")), "sid long, rare binary, frequent binary").dropDuplicates(["sid"]), "ngram-sets")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     # the bucket's own set is in each of its blocks
     members = pairs.join(hubs, "hub").select("hub", "sid", "blocks", block.alias("block")).unionByName(
