@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import ngram_join
+from facetry.llm import language_model, ngram_join, repeats
 from facetry.llm.common import table
 from facetry.llm.registry import query
 
@@ -22,3 +22,13 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS compon
 @query("op3_prefix_tree_join", LINK_SQL)
 def prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_prefix_free_repeats")
+def prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op1_elias_fano_lm")
+def elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
