@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from facetry.llm import language_model, ngram_join, repeats
+from facetry.llm import language_model, ngram_join, repeats, toxicity
 from facetry.llm.common import table
 from facetry.llm.registry import query
 
@@ -21,7 +22,7 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS compon
 
 @query("op3_prefix_tree_join", LINK_SQL)
 def prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 @query("op9_prefix_free_repeats")
@@ -32,3 +33,9 @@ def prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_elias_fano_lm")
 def elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity_chain")
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.drop("row_key").withColumns({c: F.round(c, 6) for c in ("p_low_quality", "p_toxic")})

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.common import bitmap, has_bit, stored
+from facetry.llm.common import bitmap, has_bit, row_key, stored
 from facetry.llm.components import components
 from facetry.llm.shingles import Hashes, set_key, shingle_sets, text_batches
 
@@ -56,12 +56,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(piece.column("text").to_pylist(), cache)
         keys = np.array([set_key(s) if len(s) else 0 for s in sets], np.int64)
         n = pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sets), np.int32)), "id": piece.column("doc_id").cast(pa.int64()), "sid": pa.array(keys), "n": n})
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sets), np.int32)), "id": piece.column("doc_id"), "sid": pa.array(keys), "n": n, "row": piece.column("row_key")})
         _, first = np.unique(keys, return_index=True)
         tokens, counts = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True) if len(first) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = counts >= 3
         yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(int(often.sum()), np.int32)), "id": _signed(tokens[often]),
-                                          "sid": pa.array(counts[often].astype(np.int64)), "n": pa.array(np.zeros(int(often.sum()), np.int64))})
+                                          "sid": pa.array(counts[often].astype(np.int64)), "n": pa.array(np.zeros(int(often.sum()), np.int64)), "row": pa.nulls(int(often.sum()), pa.int64())})
 
 
 def _prefixes(order):
@@ -254,7 +254,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """row_key, doc_id, n_shingles, component_id of every row.
 
     Equal sets are one.  Shingles shared by several sets of a piece of input are counted;
     the most frequent go last in the global order, so common passages are in few prefixes.
@@ -269,9 +269,9 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     the least id they are linked with, or null.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    profile = stored(texts.mapInArrow(_profile, "kind int, id long, sid long, n long"), "ngram-profile")
-    rows = profile.where("kind = 0").select(F.col("id").alias("doc_id"), "sid", F.col("n").alias("n_shingles"))
+    texts = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    profile = stored(texts.mapInArrow(_profile, "kind int, id long, sid long, n long, row long"), "ngram-profile")
+    rows = profile.where("kind = 0").select(F.col("row").alias("row_key"), F.col("id").alias("doc_id"), "sid", F.col("n").alias("n_shingles"))
     often = profile.where("kind = 1").groupBy("id").agg(F.sum("sid").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy()))
     only = texts.select("text")
@@ -296,7 +296,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     named = rows.join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
