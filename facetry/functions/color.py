@@ -40,11 +40,12 @@ LMS_TO_LAB = (
 
 
 def count_below(points: Column, value: Column, inclusive: bool = False) -> Column:
-    """How many of the (at most 1023) ascending points lie below ``value``.
+    """How many of the ascending points lie below ``value``.
 
-    Halving search: ten probes per value instead of a scan of the points.
+    Halving search: as many probes as the number of points has binary digits.
     """
-    steps = F.array(*[F.lit(1 << b) for b in range(9, -1, -1)])
+    digits = F.length(F.bin(F.greatest(F.size(points), F.lit(1)).cast("bigint")))
+    steps = F.transform(F.sequence(digits - 1, F.lit(0), F.lit(-1)), lambda b: F.call_function("shiftleft", F.lit(1), b))
 
     def probe(count, step):
         at = F.try_element_at(points, count + step)

@@ -28,7 +28,7 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     local = F.col("_slot").bitwiseAND((1 << 33) - 1)
     return (
         numbered.withColumn("_part", F.shiftright("_slot", 33))
-        .join(starts, "_part")
+        .join(F.broadcast(starts), "_part")  # one row per partition
         .withColumn(name, F.col("_start") + local)
         .drop("_part", "_slot", "_start")
     )
@@ -39,7 +39,7 @@ _PRIOR = (Window.unboundedPreceding, -1)
 
 
 def order_statistics(df: DataFrame, axis_col: str, value_col: str, ranks: Column) -> DataFrame:
-    """Exact order statistics per axis at the 0-based ``ranks`` (ascending array over ``n``, at most 1023).
+    """Exact order statistics per axis at the 0-based ``ranks`` (ascending array over ``n``).
 
     Equal values are counted before the sort, so a value held by most rows is
     one row in it.  Sorted values fall into runs of 4096; the runs that hold an

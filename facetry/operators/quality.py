@@ -148,9 +148,13 @@ def separation_share(pairs: DataFrame, min_gap: float = 10.0, min_share: float =
 
 
 def payload_rules(cities: DataFrame, required: DataFrame | None = None, max_keys: int = 60,
-                  flat_low: float = 0.45, flat_high: float = 0.55, flat_share: float = 0.5) -> DataFrame:
+                  flat_low: float = 0.45, flat_high: float = 0.55, flat_share: float = 0.5, least: float = 0.05,
+                  caps: tuple[int, int] = (35, 12)) -> DataFrame:
     """Structure and content rules of parsed extension rows.
 
+    Number of keys and flatness are judged on what is stored in the end: scores of
+    ``least`` or more, at most ``caps`` of each kind, the highest first.
+
     ``cities`` holds entity_id, group, id, name, ingredients and methods (maps
     of variants), dishes (variant), extended_at.
     """
@@ -162,10 +166,13 @@ def payload_rules(cities: DataFrame, required: DataFrame | None = None, max_keys
             return n.isNull() | ~n.between(0, 1)
         return F.concat_ws(",", F.array_sort(F.map_keys(F.map_filter(maps, wrong))))
 
-    numbers = F.concat(*[F.transform(F.map_values(m), lambda v: variant_number(v, False)) for m in ("ingredients", "methods")])
-    kept = F.filter(numbers, lambda v: v >= 0.05)
+    def stored(maps: str, most: int) -> Column:
+        numbers = F.filter(F.transform(F.map_values(maps), lambda v: variant_number(v, False)), lambda v: v >= least)
+        return F.slice(F.sort_array(numbers, asc=False), 1, most)
+
+    kept = F.concat(stored("ingredients", caps[0]), stored("methods", caps[1]))
     flat = F.size(F.filter(kept, lambda v: v.between(flat_low, flat_high)))
-    n_keys = F.size(F.map_keys("ingredients")) + F.size(F.map_keys("methods"))
+    n_keys = F.size(kept)
     dishes = F.schema_of_variant("dishes")
     rows = _violations(cities, [
         (F.coalesce(F.col("id"), F.lit("")) == "", "missing_id", "error", F.lit("")),

@@ -36,11 +36,11 @@ def cosine_of_pairs(profile: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def cosine_of_vector_pairs(vectors: DataFrame, pairs: DataFrame, id_col: str = "entity_id",
-                           vector_col: str = "vector") -> DataFrame:
+                           vector_col: str = "vector", how: str = "inner") -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     left = vectors.select(F.col(id_col).alias("a_id"), v.alias("_va"))
     right = vectors.select(F.col(id_col).alias("b_id"), v.alias("_vb"))
-    return pairs.join(left, "a_id").join(right, "b_id").withColumn(
+    return pairs.join(left, "a_id", how).join(right, "b_id", how).withColumn(
         "cosine", V.cosine_dense(F.col("_va"), F.col("_vb"))).drop("_va", "_vb")
 
 
@@ -328,12 +328,13 @@ def mean_pair_distance(entities: DataFrame, n: int = 50, span: int = 9, weight_c
 
 
 def similarity_preserved(rows: DataFrame, vectors: DataFrame, raw_above: float = 0.80, kept_above: float = 0.50) -> DataFrame:
-    """Whether every pair above ``raw_above`` keeps an embedding cosine above ``kept_above``."""
+    """Whether every pair above ``raw_above`` keeps an embedding cosine above ``kept_above``; a pair without vectors is lost."""
     pairs = nb.radius_join(rows, raw_above).select(F.col("id").alias("a_id"), F.col("neighbour_id").alias("b_id"), F.col("value").alias("raw"))
-    both = cosine_of_vector_pairs(vectors, pairs)
-    return both.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("cosine") <= kept_above).alias("lost"),
+    both = cosine_of_vector_pairs(vectors, pairs, how="left")
+    kept = F.coalesce(F.col("cosine") > kept_above, F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~kept).alias("lost"), F.count_if(F.col("cosine").isNull()).alias("without_vector"),
                     F.coalesce(F.min("cosine"), F.lit(1.0)).alias("lowest"),
-                    F.coalesce(F.bool_and(F.col("cosine") > kept_above), F.lit(True)).alias("preserved"))
+                    F.coalesce(F.bool_and(kept), F.lit(True)).alias("preserved"))
 
 
 def knn_fidelity(before: DataFrame, after: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,9 @@ from facetry.operators.records import project_metadata
 
 
 def name_search(entities: DataFrame, query: str, columns: Sequence[str], seq_col: str, limit: int | None = 8) -> DataFrame:
-    """Case- and accent-insensitive substring of any column; the first hits in table order."""
+    """Case- and accent-insensitive substring of any column; the first hits in table order.  A blank query has no hits."""
+    if not query.strip():
+        return entities.where(F.lit(False))
     needle = fold_accents(F.lower(F.lit(query.strip())))
     hit = F.lit(False)
     for c in columns:
@@ -84,8 +86,8 @@ def search_page(entities: DataFrame, query: str | None, fields: Sequence[str], l
 
 
 def prefix_search(entities: DataFrame, prefix: str, fields: Sequence[str]) -> DataFrame:
-    """Rows with a word that starts with the prefix (1 to 20 letters, as the index would hold)."""
-    start = prefix.lower()[:20]
+    """Rows with a word that starts with the whole prefix."""
+    start = prefix.lower()
     hit = F.lit(False)
     for f in fields:
         hit = hit | F.coalesce(F.exists(tokens(F.col(f).cast("string")), lambda t: t.startswith(start)), F.lit(False))

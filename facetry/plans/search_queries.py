@@ -87,7 +87,8 @@ def payloads(spark, sf):
     return rows.select(F.col("entity_id").alias("payload_id"), F.to_json(F.struct(F.array(city).alias("cities"))).alias("payload"))
 
 
-@query("payload_rules", f"""WITH {B.PF}, {B.CM}, c AS (SELECT entity_id, count(*) AS n, count(*) FILTER (WHERE score >= 0.05) AS kept, count(*) FILTER (WHERE score BETWEEN 0.45 AND 0.55) AS flat FROM pf GROUP BY 1)
+@query("payload_rules", f"""WITH {B.PF}, {B.CM}, top AS (SELECT * FROM pf WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY entity_id, kind ORDER BY score DESC) <= CASE kind WHEN 'ing' THEN 35 ELSE 12 END),
+c AS (SELECT entity_id, count(*) AS n, count(*) AS kept, count(*) FILTER (WHERE score BETWEEN 0.45 AND 0.55) AS flat FROM top GROUP BY 1)
 SELECT cm.entity_id AS payload_id, 'missing_timestamp' AS rule FROM cm JOIN c USING (entity_id) WHERE weight >= 8000
 UNION ALL SELECT entity_id, 'too_many_keys' FROM c WHERE n > 60 UNION ALL SELECT entity_id, 'too_flat' FROM c WHERE flat >= 0.5 * kept""")
 def payload_rules(spark, sf):

@@ -87,9 +87,16 @@ def supplier_neighbours(spark, sf):
     return tidy(nb.knn_join(nb.sparse_rows(B.supplier_profile(spark, sf)), 10, "cosine"))
 
 
-@query("customer_neighbours")
+_PF_COS = f"""WITH {B.PF}, n AS (SELECT entity_id, sqrt(sum(score * score)) AS norm FROM pf GROUP BY 1),
+c AS (SELECT a.entity_id AS id, b.entity_id AS neighbour_id, sum(a.score * b.score) / (any_value(na.norm) * any_value(nb.norm)) AS cosine
+  FROM pf a JOIN pf b ON a.kind = b.kind AND a.feature = b.feature AND a.entity_id <> b.entity_id
+  JOIN n na ON na.entity_id = a.entity_id JOIN n nb ON nb.entity_id = b.entity_id GROUP BY 1, 2)
+SELECT id, neighbour_id, round(cosine, 6) AS value, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour_id) AS rank FROM c QUALIFY rank <= 10"""
+
+
+@query("customer_neighbours", _PF_COS)
 def customer_neighbours(spark, sf):
-    """Ten most similar customers of every customer; its SQL would score every pair of customers."""
+    """Ten most similar customers of every customer."""
     return tidy(nb.knn_join(nb.sparse_rows(B.customer_profile(spark, sf)), 10, "cosine"))
 
 
@@ -152,7 +159,12 @@ def farthest_twins(spark, sf):
     return tidy(rows.select("round", "a_id", "b_id", "km", "cosine"))
 
 
-@query("twin_overlap")
+@query("twin_overlap", _TWINS + """, pairs AS (SELECT a_id, b_id FROM twins),
+sides AS (SELECT a_id, b_id, feature, score AS sa, NULL::DOUBLE AS sb FROM pairs JOIN sp ON entity_id = a_id AND kind = 'ing' UNION ALL SELECT a_id, b_id, feature, NULL, score FROM pairs JOIN sp ON entity_id = b_id AND kind = 'ing'),
+o AS (SELECT a_id, b_id, feature, coalesce(max(sa), 0) AS score_a, coalesce(max(sb), 0) AS score_b FROM sides GROUP BY 1, 2, 3),
+sh AS (SELECT a_id, b_id, 'shared' AS relation, feature, score_a, score_b, row_number() OVER (PARTITION BY a_id, b_id ORDER BY round(least(score_a, score_b), 2) DESC, feature) AS rank FROM o WHERE least(score_a, score_b) >= 0.45 QUALIFY rank <= 8),
+df AS (SELECT a_id, b_id, 'differs' AS relation, feature, score_a, score_b, row_number() OVER (PARTITION BY a_id, b_id ORDER BY abs(score_a - score_b) DESC, feature) AS rank FROM o WHERE abs(score_a - score_b) >= 0.35 QUALIFY rank <= 6)
+SELECT a_id, b_id, relation, feature, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b, rank FROM (FROM sh UNION ALL FROM df)""")
 def twin_overlap(spark, sf):
     """Shared and differing features of the far-apart twins."""
     profile = reliable(B.supplier_profile(spark, sf))
@@ -267,11 +279,13 @@ def rank_no_ties(spark, sf):
 
 
 @query("similarity_preserved", f"""WITH {B.SP_COS}, first3 AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT a.*, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS kept
- FROM sp_cos a JOIN first3 x ON x.vec_id = a_id JOIN first3 y ON y.vec_id = b_id WHERE cosine > 0.80)
-SELECT count(*) AS pairs, count(*) FILTER (WHERE kept <= 0.5) AS lost, round(coalesce(min(kept), 1.0), 6) AS lowest, coalesce(bool_and(kept > 0.5), true) AS preserved FROM k""")
+ FROM sp_cos a LEFT JOIN first3 x ON x.vec_id = a_id AND x.vec_id % 9 <> 1 LEFT JOIN first3 y ON y.vec_id = b_id AND y.vec_id % 9 <> 1 WHERE cosine > 0.80)
+SELECT count(*) AS pairs, count(*) FILTER (WHERE kept IS NULL OR kept <= 0.5) AS lost, count(*) FILTER (WHERE kept IS NULL) AS without_vector, round(coalesce(min(kept), 1.0), 6) AS lowest,
+ coalesce(bool_and(coalesce(kept > 0.5, false)), true) AS preserved FROM k""")
 def similarity_preserved(spark, sf):
-    """Supplier pairs above 0.80 against the vectors of the same number."""
-    rows = similarity.similarity_preserved(nb.sparse_rows(B.supplier_profile(spark, sf)), B.embeddings(spark, sf))
+    """Supplier pairs above 0.80 against the vectors of the same number, some of which are missing."""
+    vectors = B.embeddings(spark, sf).where("entity_id % 9 <> 1")  # the case of the operator: entities without a vector
+    rows = similarity.similarity_preserved(nb.sparse_rows(B.supplier_profile(spark, sf)), vectors)
     return tidy(rows)
 
 

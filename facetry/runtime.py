@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only when nothing is named
-    (unit tests, laptops) a private folder is made.
+    A cluster names it in ``spark.checkpoint.dir``.  In local mode, where driver and
+    tasks share one machine, a private folder is made when nothing is named; anywhere
+    else its absence is an error, for other machines would not see such a folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-facetry-")
     sc.setCheckpointDir(folder)
     return folder

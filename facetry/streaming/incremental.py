@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,10 +35,29 @@ class Stores:
 
 def read_store(spark: SparkSession, stores: Stores, name: str, schema: str) -> DataFrame:
     """All batches of one store, or no rows before the first."""
-    try:
-        return spark.read.schema(f"{schema}, batch_id bigint").parquet(stores.path(name))
-    except AnalysisException:
+    if not _exists(spark, stores.path(name)):
         return spark.createDataFrame([], f"{schema}, batch_id bigint")
+    return spark.read.schema(f"{schema}, batch_id bigint").parquet(stores.path(name))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def first_batch(spark: SparkSession, checkpoint: str, paths: list[str]) -> int:
+    """Number of the partition of a run's batch 0, kept with its checkpoint.
+
+    A new checkpoint counts from 0 again; its partitions begin after all that earlier
+    runs have written, so it never replaces their state.
+    """
+    note = f"{checkpoint}/first_batch"
+    if _exists(spark, note):
+        return spark.read.schema("n bigint").json(note).first()["n"]
+    tops = [spark.read.parquet(p).agg(F.max("batch_id").alias("n")).first()["n"] for p in paths if _exists(spark, p)]
+    first = max([int(t) + 1 for t in tops if t is not None], default=0)
+    spark.range(1).select(F.lit(first).cast("bigint").alias("n")).coalesce(1).write.json(note)
+    return first
 
 
 def parse_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,8 +157,9 @@ def process_batch(batch: DataFrame, batch_id: int, stores: Stores, alias: DataFr
 def extend_stream(payloads: DataFrame, stores: Stores, alias: DataFrame, catalog: DataFrame, checkpoint: str,
                   required: DataFrame | None = None, dry_run: bool = False) -> StreamingQuery:
     """Run ``process_batch`` over a stream of (payload_id, payload); resumes from its checkpoint."""
+    first = first_batch(payloads.sparkSession, checkpoint, [stores.path(n) for n in ("entities", "scores", "catalog", "proposals", "rejected")])
     return (payloads.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-            .foreachBatch(lambda rows, n: process_batch(rows, n, stores, alias, catalog, required, dry_run)).start())
+            .foreachBatch(lambda rows, n: process_batch(rows, first + n, stores, alias, catalog, required, dry_run)).start())
 
 
 def merged_entities(spark: SparkSession, base: DataFrame, stores: Stores) -> DataFrame:
@@ -155,23 +174,21 @@ def live_catalog(spark: SparkSession, catalog: DataFrame, stores: Stores) -> Dat
     return catalog.select("kind", "feature").unionByName(grown).distinct()
 
 
-def latest_stream(rows: DataFrame, key: str, time_col: str, path: str, checkpoint: str, delay: str = "1 hour",
-                  id_col: str | None = None) -> StreamingQuery:
-    """Keep the newest record per key: late copies of one record are dropped within the watermark.
+def latest_stream(rows: DataFrame, key: str, time_col: str, path: str, checkpoint: str, id_col: str | None = None) -> StreamingQuery:
+    """Keep the newest record per key, however late a record comes.
 
-    Each batch adds its own newest rows as a partition; ``latest_table`` reads
-    the newest over all partitions.
+    Each batch adds its own newest rows as a partition; ``latest_table`` reads the newest
+    over all partitions.  Copies of a record are equal there, so none has to be dropped
+    by a watermark, which would lose late keys as well.
     """
-    once = rows.withWatermark(time_col, delay)
-    if id_col:
-        once = once.dropDuplicatesWithinWatermark([id_col])
+    first = first_batch(rows.sparkSession, checkpoint, [path])
 
     def store(batch: DataFrame, batch_id: int) -> None:
         order = [F.desc(time_col)] + ([F.desc(id_col)] if id_col else [])
         newest = top_k_per_group(batch, [key], 1, *order).drop("rank")
-        newest.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        newest.write.mode("overwrite").parquet(f"{path}/batch_id={first + batch_id}")
 
-    return (once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .outputMode("append").foreachBatch(store).start())
 
 
