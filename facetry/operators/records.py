@@ -81,11 +81,18 @@ def place_key(id_col="id", slug_col="slug", lat="lat", lon="lon", name="name"):
             F.concat_ws("|", F.col(lat).cast("string"), F.col(lon).cast("string"), F.col(name))]
 
 
-def correct_ids(entities: DataFrame, parts: Sequence[str], file_col: str = "file", id_col: str = "id") -> DataFrame:
-    """Rewrite ids from their name parts; a row without any part keeps its id and is marked failed."""
-    key = entity_key(*[F.col(p) for p in parts])
-    return entities.withColumn("new_id", F.coalesce(key, F.col(id_col).cast("string"))).withColumn(
-        "outcome", F.when(key.isNull(), "failed").when(key == F.col(id_col).cast("string"), "same").otherwise("updated"))
+def correct_ids(entities: DataFrame, parts: Sequence[str], file_col: str = "file", id_col: str = "id", name_col: str = "name") -> DataFrame:
+    """Rewrite ids from their name parts; a row without id or name, or without any part, keeps its id and is marked failed."""
+    key, old = entity_key(*[F.col(p) for p in parts]), F.col(id_col).cast("string")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    failed = key.isNull() | blank(old) | blank(F.col(name_col).cast("string"))
+    return entities.withColumn("new_id", F.when(failed, old).otherwise(key)).withColumn(
+        "outcome", F.when(failed, "failed").when(key == old, "same").otherwise("updated"))
+
+
+def failed_ids(corrected: DataFrame, file_col: str = "file", id_col: str = "id") -> DataFrame:
+    """The rows whose id could not be corrected."""
+    return corrected.where("outcome = 'failed'").select(file_col, id_col, "name")
 
 
 def correction_report(corrected: DataFrame, file_col: str = "file") -> DataFrame:

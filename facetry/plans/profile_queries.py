@@ -328,10 +328,23 @@ def upsert_latest(spark, sf):
     return tidy(rows.select("upsert_key", "event_id", "event_type", "value"))
 
 
-@query("correct_ids", f"""WITH {B.CM} SELECT "group" AS file, count(*) AS total, count(*) AS updated, 0::BIGINT AS failed FROM cm GROUP BY 1""")
+def _broken_ids(spark, sf):
+    """Customers by nation; every 13th has no id and every 11th a blank name, as broken raw files have."""
+    c = B.customers(spark, sf).withColumn("file", F.col("group"))
+    c = c.withColumn("id", F.when(F.col("entity_id") % 13 != 0, F.col("entity_id").cast("string"))).withColumn("name", F.when(F.col("entity_id") % 11 != 0, F.col("name")).otherwise(" "))
+    return records.correct_ids(c, ["name", "supergroup", "group"])
+
+
+@query("correct_ids", f"""WITH {B.CM}, f AS (SELECT *, entity_id % 13 = 0 OR entity_id % 11 = 0 AS bad FROM cm)
+SELECT "group" AS file, count(*) AS total, count(*) FILTER (WHERE NOT bad) AS updated, count(*) FILTER (WHERE bad) AS failed FROM f GROUP BY 1""")
 def correct_ids(spark, sf):
-    c = B.customers(spark, sf).withColumn("id", F.col("entity_id")).withColumn("file", F.col("group"))
-    return records.correction_report(records.correct_ids(c, ["name", "supergroup", "group"]))
+    return records.correction_report(_broken_ids(spark, sf))
+
+
+@query("failed_ids", f"""WITH {B.CM} SELECT "group" AS file, CASE WHEN entity_id % 13 <> 0 THEN entity_id::VARCHAR END AS id, CASE WHEN entity_id % 11 <> 0 THEN name ELSE ' ' END AS name
+FROM cm WHERE entity_id % 13 = 0 OR entity_id % 11 = 0""")
+def failed_ids(spark, sf):
+    return records.failed_ids(_broken_ids(spark, sf))
 
 
 @query("group_by_country", """SELECT coalesce(n_name, 'UNKNOWN') AS "group", count(*) AS entities FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 0 GROUP BY 1""")

@@ -33,6 +33,8 @@ def scan_profiles(spark: SparkSession, path: str, glob: str = "data.*.json") ->
 
 def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
     raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    if not raw.inputFiles():
+        raise FileNotFoundError(f"no file {glob} below {path}")
     parsed = F.try_parse_json("value")
     single = F.schema_of_variant(parsed).startswith("OBJECT")
     wrapped = F.when(single, F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))).otherwise(parsed)
@@ -64,6 +66,9 @@ def scores_of(records: DataFrame, allow_bool: bool = True) -> DataFrame:
 
 def scan_profiles_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One array file; a missing file, bad JSON or another shape fails the job."""
+    other = spark.read.text(path, wholetext=True).where(~F.startswith(F.ltrim("value"), F.lit("[")))
+    if not other.isEmpty():
+        raise ValueError(f"{path} does not hold an array")
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 

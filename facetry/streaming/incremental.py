@@ -168,6 +168,15 @@ def merged_entities(spark: SparkSession, base: DataFrame, stores: Stores) -> Dat
     return merge_extended(base, ext, ["famous_dishes", "extended_at"], seq_col="batch_id")
 
 
+def merged_scores(spark: SparkSession, base: DataFrame, stores: Stores) -> DataFrame:
+    """Base scores (id, kind, feature, score), all of an id's replaced by those of its newest extension."""
+    ext = read_store(spark, stores, "entities", CITY_FIELDS)
+    newest = top_k_per_group(ext, ["id"], 1, F.desc("batch_id")).select("id", "batch_id")
+    scores = read_store(spark, stores, "scores", "entity_id string, kind string, feature string, score double, id string")
+    fresh = scores.join(newest, ["id", "batch_id"], "left_semi").select("id", "kind", "feature", "score")
+    return base.select("id", "kind", "feature", "score").join(newest.select("id"), "id", "left_anti").unionByName(fresh)
+
+
 def live_catalog(spark: SparkSession, catalog: DataFrame, stores: Stores) -> DataFrame:
     """The catalogue with every key that batches have added."""
     grown = read_store(spark, stores, "catalog", "kind string, feature string").select("kind", "feature")
