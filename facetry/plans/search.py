@@ -44,10 +44,25 @@ def _field_score(text: Column, words: Sequence[str]) -> Column:
     return total
 
 
+def _swapped(words: set[str]) -> set[str]:
+    """All words after one swap of two neighbouring letters."""
+    return {w[:i] + w[i + 1] + w[i] + w[i + 2:] for w in words for i in range(len(w) - 1) if w[i] != w[i + 1]}
+
+
 def _closeness(word: str, edits: int):
+    """1 - edits / length within the limit, else 0; a swap of neighbouring letters is one edit."""
+    forms, known = {word: 0}, {word}
+    for swaps in range(1, edits + 1):
+        known = _swapped(known)
+        for form in known:
+            forms.setdefault(form, swaps)
+
     def score(t: Column) -> Column:
-        d = F.levenshtein(t, F.lit(word), edits)  # -1 beyond the limit
-        return F.when(d >= 0, 1 - d / F.lit(float(len(word)))).otherwise(F.lit(0.0))
+        best = F.lit(0.0)
+        for form, swaps in sorted(forms.items()):
+            d = F.levenshtein(t, F.lit(form), edits - swaps)  # -1 beyond the limit
+            best = F.greatest(best, F.when(d >= 0, 1 - (d + swaps) / F.lit(float(len(word)))).otherwise(F.lit(0.0)))
+        return best
     return score
 
 

@@ -29,12 +29,12 @@ def _score_sql(field: str, words: list[str]) -> str:
     parts = []
     for w in words:
         d = search.allowed_edits(w)
-        parts.append(f"coalesce(list_max([CASE WHEN levenshtein(t, '{w}') <= {d} THEN 1 - levenshtein(t, '{w}') / {float(len(w))} ELSE 0.0 END FOR t IN "
+        parts.append(f"coalesce(list_max([CASE WHEN damerau_levenshtein(t, '{w}') <= {d} THEN 1 - damerau_levenshtein(t, '{w}') / {float(len(w))} ELSE 0.0 END FOR t IN "
                      f"list_filter(string_split_regex(lower({field}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')]), 0.0)")
     return " + ".join(parts)
 
 
-_RANKED = f"""WITH s AS (SELECT p_partkey, greatest({_score_sql('p_name', ['smal', 'gizmoo'])}, {_score_sql('p_brand', ['smal', 'gizmoo'])}, {_score_sql('p_type', ['smal', 'gizmoo'])}) AS score FROM part)
+_RANKED = f"""WITH s AS (SELECT p_partkey, greatest({_score_sql('p_name', ['samll', 'gizmoo'])}, {_score_sql('p_brand', ['samll', 'gizmoo'])}, {_score_sql('p_type', ['samll', 'gizmoo'])}) AS score FROM part)
 """
 FIELDS = ["p_name", "p_brand", "p_type"]
 
@@ -42,12 +42,12 @@ FIELDS = ["p_name", "p_brand", "p_type"]
 @query("ranked_search", _RANKED + "SELECT p_partkey, round(score, 6) AS score FROM s WHERE score > 0")
 def ranked_search(spark, sf):
     """Parts that match two misspelt words, with their score."""
-    return tidy(search.ranked_search(B.table(spark, sf, "part"), "smal gizmoo", FIELDS, "p_partkey").select("p_partkey", "score"))
+    return tidy(search.ranked_search(B.table(spark, sf, "part"), "samll gizmoo", FIELDS, "p_partkey").select("p_partkey", "score"))
 
 
 @query("search_page", _RANKED + "SELECT part.p_partkey, p_name FROM part JOIN s USING (p_partkey) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20 OFFSET 20")
 def search_page(spark, sf):
-    rows, _ = search.search_page(B.table(spark, sf, "part"), "smal gizmoo", FIELDS, 20, 20, ["p_name"], id_col="p_partkey")
+    rows, _ = search.search_page(B.table(spark, sf, "part"), "samll gizmoo", FIELDS, 20, 20, ["p_name"], id_col="p_partkey")
     return rows
 
 
@@ -59,7 +59,7 @@ def sorted_page(spark, sf):
 
 @query("page_stats", _RANKED + "SELECT count(*) AS total, 2::BIGINT AS page, ceil(count(*) / 20)::BIGINT AS total_pages FROM s WHERE score > 0")
 def page_stats(spark, sf):
-    found = search.ranked_search(B.table(spark, sf, "part"), "smal gizmoo", FIELDS, "p_partkey")
+    found = search.ranked_search(B.table(spark, sf, "part"), "samll gizmoo", FIELDS, "p_partkey")
     return ordering.page_stats(found, 20, 20)
 
 
