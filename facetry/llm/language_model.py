@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import mix, stored
 from facetry.llm.eliasfano import Trie
-from facetry.llm.shingles import Hashes, text_batches, words_of
+from facetry.llm.shingles import text_batches, word_hashes
 
 #: Hashes of the sign that ends a text and of the one that stands before its first word.  Words have 63-bit hashes.
 END, BEGIN = 0x1D4F7A3B62C98E05, 0x2B7E151628AED2A6
@@ -34,17 +34,15 @@ def held_out(doc_id: Column) -> Column:
 
 def _token_rows(batches: Iterator[pa.RecordBatch]):
     """For each piece of texts: batch, hashes of all tokens with ends, row of each token, whether it begins a text."""
-    cache = Hashes()
     for piece in text_batches(batches):
-        lists = [words_of(t) for t in piece.column("text").to_pylist()]
-        sizes = np.array([len(w) + 1 for w in lists], np.int64)
+        flat, sizes = word_hashes(piece.column("text"))
+        sizes = sizes + 1
         tokens = np.full(int(sizes.sum()), END, np.int64)
-        flat = np.fromiter((h for w in lists for h in map(cache.__getitem__, w)), np.uint64, int(sizes.sum()) - len(lists))
         inner = np.ones(len(tokens), bool)
         ends = np.cumsum(sizes)
         inner[ends - 1] = False
         tokens[inner] = (flat & _63).astype(np.int64)
-        yield piece, tokens, np.repeat(np.arange(len(lists)), sizes), ends
+        yield piece, tokens, np.repeat(np.arange(len(sizes)), sizes), ends
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

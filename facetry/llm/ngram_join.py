@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import bitmap, has_bit, row_key, stored
 from facetry.llm.components import components
-from facetry.llm.shingles import Hashes, set_key, shingle_sets, text_batches
+from facetry.llm.shingles import set_key, shingle_sets, text_batches
 
 #: Frequent shingles that go last in the global order, most frequent at the end.  Bounds the
 #: broadcast to 4 MB; it decides how many candidates there are, never which links are found.
 FREQUENT = 1 << 18
-#: Sets compared in one prefix tree; larger buckets are cut into blocks.
+#: Whole sets compared in one prefix tree; larger buckets are cut into blocks.
 BLOCK = 512
+#: Buckets up to this size are first sifted in a tree of prefixes alone; larger ones go to the blocks as they are.
+COARSE = 4096
 
 
 def prefix_size(n: int | np.ndarray):
@@ -51,9 +53,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: id, set and size of each row.  kind 1: shingles that several sets of a piece share, with their number."""
-    cache = Hashes()
     for piece in text_batches(batches):
-        sets = shingle_sets(piece.column("text").to_pylist(), cache)
+        sets = shingle_sets(piece.column("text"))
         keys = np.array([set_key(s) if len(s) else 0 for s in sets], np.int64)
         n = pa.array([len(s) for s in sets], pa.int64())
         yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sets), np.int32)), "id": piece.column("doc_id"), "sid": pa.array(keys), "n": n, "row": piece.column("row_key")})
@@ -65,12 +66,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(order):
-    """The prefix of every set: one row a shingle."""
+    """The prefix of every set: one row a shingle, with twice the set's size, plus one if the place is late in the prefix."""
     def run(batches):
-        cache, known = Hashes(), order.value
+        known = order.value
         for piece in text_batches(batches):
-            done, tokens, sids = set(), [], []
-            for own in shingle_sets(piece.column("text").to_pylist(), cache):
+            done, tokens, sizes, sids = set(), [], [], []
+            for own in shingle_sets(piece.column("text")):
                 if not len(own) or (sid := set_key(own)) in done:
                     continue
                 done.add(sid)
@@ -78,47 +79,68 @@ def _prefixes(order):
                 take = int(prefix_size(len(own)))
                 head = rare[:take] if take <= len(rare) else np.concatenate((rare, known.by_rank[frequent[:take - len(rare)]]))
                 tokens.append(head)
+                late = np.arange(len(head)) > len(own) - (6 * len(own) + 6) // 7
+                sizes.append(2 * len(own) + late)
                 sids.append(np.full(len(head), sid, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_pydict({"token": _signed(np.concatenate(tokens)), "sid": pa.array(np.concatenate(sids))})
+                yield pa.RecordBatch.from_pydict({"token": _signed(np.concatenate(tokens)), "size": pa.array(np.concatenate(sizes).astype(np.int64)), "sid": pa.array(np.concatenate(sids))})
     return run
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shingle and set: each set of a shared shingle is put in the bucket of the shingle's least set.
+    """Rows come sorted by shingle, size and set: sets of one shingle that can link are put in the bucket of the first of them.
 
-    Only the last shingle and its hub are kept between batches, however many sets share it.
+    Of two linked sets the smaller has their first common shingle early in its prefix.  So a
+    row that is late in its prefix needs an early row of a smaller set within reach, and a
+    gap in the sizes ends a bucket.  One row is kept between batches, however many share a
+    shingle.
     """
-    last, hub = None, None
+    carry = None  # shingle, size and hub of the last row that counts, size of the last early row
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, sid = batch.column("token").to_numpy(), batch.column("sid").to_numpy()
-        new = np.concatenate(([last is None or token[0] != last], token[1:] != token[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-        hubs = np.where(start >= 0, sid[np.maximum(start, 0)], hub if hub is not None else 0)
-        last, hub = token[-1], hubs[-1]
-        other = hubs != sid
-        pairs = np.unique(np.stack((hubs[other], sid[other])), axis=1)
-        yield pa.RecordBatch.from_pydict({"hub": pa.array(pairs[0]), "sid": pa.array(pairs[1])})
-
-
-def _sets(order, wanted):
-    """Rare shingles and frequent ranks of the sets whose bit is set, once a piece."""
+        token, size, sid = (batch.column(c).to_numpy() for c in ("token", "size", "sid"))
+        n, early = size >> 1, (size & 1) == 0
+        reach = np.where(early, n, 0)
+        if carry is not None:
+            token, n, sid, reach, early = (np.concatenate(([c], x)) for c, x in zip((*carry, True), (token, n, sid, reach, early), strict=True))
+        group = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
+        reach = np.maximum.accumulate(reach + (group << 40)) - (group << 40)
+        counts = early | (4 * reach >= 3 * n)
+        last_token, last_reach = token[-1], int(reach[-1])
+        token, n, sid = token[counts], n[counts], sid[counts]
+        carry = None
+        if len(token):
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (3 * n[1:] > 4 * n[:-1])))
+            hubs = sid[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
+            if token[-1] == last_token:
+                carry = (token[-1], n[-1], hubs[-1], last_reach)
+            other = hubs != sid
+            pairs = np.unique(np.stack((hubs[other], sid[other])), axis=1)
+            yield pa.RecordBatch.from_pydict({"hub": pa.array(pairs[0]), "sid": pa.array(pairs[1])})
+
+
+def _sets(order, wanted, whole: bool):
+    """Rare shingles and frequent ranks of the sets whose bit is set, whole or of their prefix, once a piece."""
     def run(batches):
-        cache, known, bits = Hashes(), order.value, wanted.value
+        known, bits = order.value, wanted.value
         for piece in text_batches(batches):
-            done, out = set(), {"sid": [], "rare": [], "frequent": []}
-            for own in shingle_sets(piece.column("text").to_pylist(), cache):
+            done, out = set(), {"sid": [], "n": [], "rare": [], "frequent": []}
+            for own in shingle_sets(piece.column("text")):
                 if not len(own) or (sid := set_key(own)) in done or not has_bit(bits, np.array([sid]))[0]:
                     continue
                 done.add(sid)
                 rare, frequent = known.split(own)
+                if not whole:
+                    take = int(prefix_size(len(own)))
+                    rare, frequent = rare[:take], frequent[:max(0, take - len(rare))]
+                    rare = np.unique((rare >> np.uint64(32)).astype(np.uint32))  # half a hash: a few more candidates
                 out["sid"].append(sid)
+                out["n"].append(len(own))
                 out["rare"].append(rare.tobytes())
                 out["frequent"].append(frequent.astype(np.int32).tobytes())
             if done:
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(out["sid"], pa.int64()), "rare": pa.array(out["rare"], pa.binary()), "frequent": pa.array(out["frequent"], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"sid": pa.array(out["sid"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "rare": pa.array(out["rare"], pa.binary()), "frequent": pa.array(out["frequent"], pa.binary())})
     return run
 
 
@@ -166,50 +188,79 @@ class Tree:
         return len(self.low) - 1
 
 
-def tree_links(rows: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
-    """Links between rows (sorted ranks, sorted lexicographically) that join two labels; linked labels become one.
+def tree_links(rows: list[np.ndarray], sizes: np.ndarray, label: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs of rows that can link and join two labels, and the labels after; the labels of a pair become one.
 
-    Each row walks the tree of the rows after it.  Overlaps counted along a path serve all
-    rows below it.  A subtree is left when even its remaining length, or what remains of
-    the row, cannot reach the overlap that its smallest row needs, when its sizes are out
-    of reach, or when all its rows have the row's label already.
+    Rows are sorted ranks, whole sets or the beginnings of sets of the given sizes, in
+    lexicographic order.  Each row walks the tree of the rows after it.  Overlaps counted
+    along a path serve all rows below it.  A subtree is left when its remaining length, or
+    what remains of the row, cannot reach the overlap that any of its rows needs, when its
+    sizes are out of reach, or when all its rows have the row's label already.  With whole
+    sets nothing remains at a leaf, so its pair is a link.
     """
     label, links = label.copy(), []
     if len(rows) < 2 or (label == label[0]).all():
-        return links
+        return links, label
     tree = Tree(rows)
-    sizes = np.array([len(r) for r in rows])
-    mask = np.zeros(int(max(r[-1] for r in rows)) + 1, bool)
+    lengths = np.array([len(r) for r in rows])
+    flat, starts, lasts = np.concatenate(rows), np.cumsum(lengths) - lengths, np.array([r[-1] for r in rows])
+    mask = np.zeros(int(lasts.max()) + 1, bool)
     for x, row in enumerate(rows):
-        n = len(row)
+        n = int(sizes[x])
         mask[row] = True
+
+        def fits(low: int, high: int, x: int = x, n: int = n) -> np.ndarray:
+            return (4 * sizes[low:high] >= 3 * n) & (3 * sizes[low:high] <= 4 * n) & (label[low:high] != label[x])
+
+        def short(met, spans, known, left, n: int = n):
+            # a set of size s needs ceil(3 (n + s) / 7) and has s - known shingles to come
+            return met + np.minimum(spans - known, left) < -(-3 * (n + spans) // 7)
+
+        def leaves(low: int, high: int, x: int = x, n: int = n, row: np.ndarray = row) -> None:
+            """Rows low..high-1 at once, each to its end."""
+            low = max(low, x + 1)
+            if low >= high:
+                return
+            part, at = flat[starts[low]:starts[high - 1] + lengths[high - 1]], starts[low:high] - starts[low]
+            met = np.add.reduceat(mask[part].astype(np.int64), at)
+            known = np.add.reduceat((part <= row[-1]).astype(np.int64), at)
+            left = n - np.where(known == lengths[low:high], np.searchsorted(row, lasts[low:high], "right"), len(row))
+            for y in low + np.nonzero(fits(low, high) & ~short(met, sizes[low:high], known, left))[0]:
+                if label[y] != label[x]:
+                    links.append((x, int(y)))
+                    label[label == label[y]] = label[x]
+
         todo = [(tree.root, 0)]
         while todo:
             node, met = todo.pop()
             low, high = max(tree.low[node], x + 1), tree.high[node]
             if low >= high:
                 continue
-            fit = (4 * sizes[low:high] >= 3 * n) & (3 * sizes[low:high] <= 4 * n) & (label[low:high] != label[x])
+            fit = fits(low, high)
             if not fit.any():
                 continue
-            spans = sizes[low:high][fit]
-            end, path = tree.end[node], rows[tree.low[node]]
-            met += int(mask[path[tree.start[node]:end]].sum())
-            left = n - int(np.searchsorted(row, path[end - 1], "right")) if end else n
-            # a row of size s needs ceil(3 (n + s) / 7) and has s - end shingles to come
-            if (met + np.minimum(spans - end, left) < -(-3 * (n + spans) // 7)).all():
+            start, end, path = tree.start[node], tree.end[node], rows[tree.low[node]]
+            # shingles beyond the row's last one are known to be missing only if the row is whole
+            known = int(np.searchsorted(path[:end], row[-1], "right"))
+            met += int(mask[path[start:known]].sum()) if known > start else 0
+            left = n - (int(np.searchsorted(row, path[end - 1], "right")) if known == end and end else len(row) if end else 0)
+            if short(met, sizes[low:high][fit], known, left).all():
                 continue
+            # rows that end here, and runs of children with one row each, are looked at together
             at = tree.low[node]
-            while at < high and sizes[at] == end:  # leaves of this node
-                if at > x and label[at] != label[x] and 7 * met >= 3 * (n + end):
-                    links.append((x, at))
-                    label[label == label[at]] = label[x]
+            run = at
+            while at < tree.high[node] and lengths[at] == end:
                 at += 1
-            todo.extend((child, met) for child in tree.children[node])
+            for child in tree.children[node]:
+                if tree.high[child] - tree.low[child] > 1:
+                    leaves(run, tree.low[child])
+                    todo.append((child, met))
+                    run = tree.high[child]
+            leaves(run, tree.high[node])
         mask[row] = False
         if (label == label[0]).all():
             break
-    return links
+    return links, label
 
 
 def _ranked(rare: list[np.ndarray], frequent: list[np.ndarray]) -> list[np.ndarray]:
@@ -219,38 +270,54 @@ def _ranked(rare: list[np.ndarray], frequent: list[np.ndarray]) -> list[np.ndarr
     return [np.concatenate((np.searchsorted(known, r), len(known) + np.searchsorted(late, f))) for r, f in zip(rare, frequent, strict=True)]
 
 
-def _join_bucket(sids: list[int], rare: list[bytes], frequent: list[bytes], roots: list[int]) -> tuple[list[int], list[int]]:
-    rows = _ranked([np.frombuffer(r, np.uint64) for r in rare], [np.frombuffer(f, np.int32).astype(np.int64) for f in frequent])
+def _walk(kind: type, sids: list[int], sizes: list[int], rare: list[bytes], frequent: list[bytes], roots: list[int]):
+    rows = _ranked([np.frombuffer(r, kind) for r in rare], [np.frombuffer(f, np.int32).astype(np.int64) for f in frequent])
     order = sorted(range(len(rows)), key=lambda i: rows[i].astype(">i8").tobytes())
-    links = tree_links([rows[i] for i in order], np.unique(np.array([roots[i] for i in order]), return_inverse=True)[1])
-    return [sids[order[a]] for a, _ in links], [sids[order[b]] for _, b in links]
+    start = np.unique(np.array([roots[i] for i in order]), return_inverse=True)[1]
+    links, label = tree_links([rows[i] for i in order], np.array([sizes[i] for i in order]), start)
+    return np.array([sids[i] for i in order], np.int64), links, label
+
 
+def _links_of(*held) -> pa.RecordBatch:
+    sids, links, _ = _walk(np.uint64, *held)
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_pydict({"v": pa.array(sids[at[:, 0]]), "u": pa.array(sids[at[:, 1]])})
 
-def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _groups_of(*held) -> pa.RecordBatch:
+    """Sets that candidates connect, each group named by its members."""
+    sids, _, label = _walk(np.uint32, *held)
+    groups, members = [], []
+    for one in np.unique(label):
+        own = np.sort(sids[label == one])
+        if len(own) > 1:
+            groups.extend([set_key(own)] * len(own))
+            members.append(own)
+    return pa.RecordBatch.from_pydict({"v": pa.array(groups, pa.int64()), "u": pa.array(np.concatenate(members) if members else np.zeros(0, np.int64))})
+
+
+def _buckets(result):
     """Rows come sorted by bucket; one bucket is held at a time."""
-    key, held = None, {"sid": [], "rare": [], "frequent": [], "root": []}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {"sid": [], "n": [], "rare": [], "frequent": [], "root": []}
+        for batch in batches:
+            rows = batch.to_pydict()
+            for i, at in enumerate(zip(rows["hub"], rows["block"], rows["other"], strict=True)):
+                if at != key:
+                    if len(held["sid"]) > 1:
+                        yield result(*held.values())
+                    key, held = at, {c: [] for c in held}
+                for c in held:
+                    held[c].append(rows[c][i])
+        if len(held["sid"]) > 1:
+            yield result(*held.values())
+    return run
 
-    def edges():
-        v, u = _join_bucket(held["sid"], held["rare"], held["frequent"], held["root"])
-        return pa.RecordBatch.from_pydict({"v": pa.array(v, pa.int64()), "u": pa.array(u, pa.int64())})
 
-    for batch in batches:
-        rows = batch.to_pydict()
-        for i, at in enumerate(zip(rows["hub"], rows["block"], rows["other"], strict=True)):
-            if at != key:
-                if len(held["sid"]) > 1:
-                    yield edges()
-                key, held = at, {c: [] for c in held}
-            for c in held:
-                held[c].append(rows[c][i])
-    if len(held["sid"]) > 1:
-        yield edges()
-
-
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (v, u) inside every (hub, block, other) of ``members``."""
+def _walked(members: DataFrame, sets: DataFrame, result) -> DataFrame:
+    """``result`` (v, u) of every (hub, block, other) of ``members``."""
     full = members.join(sets, "sid")
-    return full.repartition("hub", "block", "other").sortWithinPartitions("hub", "block", "other", "sid").mapInArrow(_join_buckets, "v long, u long")
+    return full.repartition("hub", "block", "other").sortWithinPartitions("hub", "block", "other", "sid").mapInArrow(_buckets(result), "v long, u long")
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
@@ -258,10 +325,12 @@ def linked_documents(docs: DataFrame) -> DataFrame:
 
     Equal sets are one.  Shingles shared by several sets of a piece of input are counted;
     the most frequent go last in the global order, so common passages are in few prefixes.
-    Sets that share a shingle of their prefixes meet in the bucket of that shingle's least
-    set.  Each bucket is a prefix tree, cut into blocks of 512 sets when larger, the least
-    set in each.  Blocks of one bucket that are not connected by then are compared with
-    each other: what is outside the bucket's largest component with all of the bucket.
+    Sets of like sizes that share a shingle of their prefixes meet in the bucket of the
+    first of them.  A tree of the prefixes alone splits the bucket into groups that candidates
+    connect, so sets that share little are never moved whole.  Each group is a prefix tree
+    of whole sets, cut into blocks of 512 when larger, the least set in each.  Blocks of one
+    group that are not connected by then are compared with each other: what is outside the
+    group's largest component with all of the group.
     So every linked pair is compared or already connected.
 
     Null or wordless texts have size 0 and are their own component.  Equal rows, ties and
@@ -275,23 +344,33 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     often = profile.where("kind = 1").groupBy("id").agg(F.sum("sid").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy()))
     only = texts.select("text")
-    prefixes = only.mapInArrow(_prefixes(order), "token long, sid long")
-    pairs = prefixes.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_hubs, "hub long, sid long").distinct()
+    prefixes = only.mapInArrow(_prefixes(order), "token long, size long, sid long")
+    pairs = prefixes.repartition("token").sortWithinPartitions("token", "size", "sid").mapInArrow(_hubs, "hub long, sid long").distinct()
     pairs = stored(pairs, "ngram-pairs")
-    hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil((F.col("n") + 1) / BLOCK).cast("int"))
-    survivors = pairs.select("sid").unionByName(pairs.select(F.col("hub").alias("sid")))
-    sets = stored(only.mapInArrow(_sets(order, bitmap(survivors, "sid")), "sid long, rare binary, frequent binary").dropDuplicates(["sid"]), "ngram-sets")
+    kinds = "sid long, n long, rare binary, frequent binary"
+    every = pairs.unionByName(pairs.select("hub", F.col("hub").alias("sid"))).distinct()
+    size = every.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select("hub", (F.col("n") > COARSE).alias("large"))
+    sized = stored(every.join(size, "hub"), "ngram-members")
+    small = sized.where("NOT large")
+    heads = only.mapInArrow(_sets(order, bitmap(small, "sid"), False), kinds).dropDuplicates(["sid"])
+    one = F.lit(0)
+    groups = _walked(small.select("hub", one.alias("block"), one.alias("other"), "sid", F.col("sid").alias("root")), heads, _groups_of)
+    buckets = stored(groups.select(F.col("v").alias("hub"), F.col("u").alias("sid")).unionByName(sized.where("large").select("hub", "sid")).distinct(), "ngram-buckets")
+    sets = stored(only.mapInArrow(_sets(order, bitmap(buckets, "sid"), True), kinds).dropDuplicates(["sid"]), "ngram-sets")
+    hubs = buckets.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("least")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    # the bucket's own set is in each of its blocks
-    members = pairs.join(hubs, "hub").select("hub", "sid", "blocks", block.alias("block")).unionByName(
-        hubs.select("hub", F.col("hub").alias("sid"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    first = stored(_links(members.select("hub", "block", F.lit(0).alias("other"), "sid", F.col("sid").alias("root")), sets), "ngram-links")
+    # the bucket's least set is in each of its blocks
+    members = buckets.join(hubs, "hub").where("sid <> least").select("hub", "sid", "blocks", block.alias("block")).unionByName(
+        hubs.select("hub", F.col("least").alias("sid"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    members = stored(members, "ngram-members")
+    first = stored(_walked(members.select("hub", "block", one.alias("other"), "sid", F.col("sid").alias("root")), sets, _links_of), "ngram-links")
     roots = components(first, "ngram-roots")
 
-    rest = _open_buckets(members.where("blocks > 1"), roots)
-    second = stored(_links(rest, sets), "ngram-links")
-    if not second.isEmpty():
-        roots = components(first.unionByName(second), "ngram-roots")
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        second = stored(_walked(stored(_open_buckets(large, roots), "ngram-members"), sets, _links_of), "ngram-links")
+        if not second.isEmpty():
+            roots = components(first.unionByName(second), "ngram-roots")
 
     named = rows.join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -305,7 +384,7 @@ def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = at.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select(
         "hub", F.col("top.root").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")).where("outside > 0")
-    both = at.join(largest, "hub").withColumn("others", F.ceil(F.col("outside") / BLOCK).cast("int"))
+    both = stored(at.join(largest, "hub").withColumn("others", F.ceil(F.col("outside") / BLOCK).cast("int")), "ngram-open")
     left = both.select("hub", "block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "sid", "root")
     right = both.where("root <> main").select(
         "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("others")).cast("int").alias("other"), "sid", "root")

@@ -1,4 +1,4 @@
-"""Word shingles of whole texts as sorted arrays of 64-bit hashes."""
+"""Words of whole texts as 64-bit hashes, and their shingles as sorted arrays of hashes."""
 
 from __future__ import annotations
 
@@ -9,35 +9,49 @@ import pyarrow as pa
 import xxhash
 
 from facetry.llm.common import mix
+from facetry.llm.phrases import Rolling
 
-#: Odd multipliers, one a place, and one for the number of words.
+#: Odd multipliers, one a place, and one for each number of words.
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 LENGTH = np.array([n * 0xE7037ED1A0B428DB % (1 << 64) for n in range(6)], np.uint64)
-
-
-class Hashes(dict):
-    """Hash of every word met so far; emptied before it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words of the whole text; bytes.split knows the same six blanks as the contract."""
-    return text.encode().lower().split() if text else []
-
-
-def shingle_sets(texts: Iterator[str | None], cache: Hashes) -> list[np.ndarray]:
+#: A-Z to a-z; the six blanks of the contract.
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after the other, and the number of words of each text; null texts have none.
+
+    Works on the bytes of the Arrow column at once: a word is a run of other bytes than
+    the six blanks, inside one text, and its hash a stretch of a rolling hash.
+    """
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    if data is None or not len(texts) or ends[-1] == ends[0]:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    raw = _LOWER[np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]]
+    ends -= ends[0]
+    solid = np.empty(len(raw) + 1, bool)
+    np.logical_not(_BLANK[raw], out=solid[:-1])
+    solid[-1] = False
+    first = solid[:-1].copy()
+    first[1:] &= ~solid[:-2]
+    begin = ends[:-1][ends[:-1] < len(raw)]
+    first[begin] = solid[begin]  # a text begins a word whatever stands before it
+    last = solid[:-1] & ~solid[1:]
+    stop = ends[1:][ends[1:] > 0] - 1
+    last[stop] = solid[stop]
+    start, end = np.nonzero(first)[0], np.nonzero(last)[0] + 1
+    return Rolling(raw).of(start, end), np.diff(np.searchsorted(start, ends))
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct 5-word shingle hashes of each text; shorter texts are one shingle, texts without words none."""
-    lists = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in lists], np.int64)
+    flat, sizes = word_hashes(texts)
     ends = np.cumsum(sizes)
-    flat = np.fromiter((h for w in lists for h in map(cache.__getitem__, w)), np.uint64, int(ends[-1]) if len(ends) else 0)
-    n = len(flat)
-    full = np.zeros(max(0, n - 4), np.uint64)
+    full = np.zeros(max(0, len(flat) - 4), np.uint64)
     for i in range(5):
         full += flat[i:i + len(full)] * PLACE[i]
     full = mix(full + LENGTH[5])
@@ -59,7 +73,7 @@ def set_key(tokens: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 2048, chars: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 2048, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that no piece has more than ``rows`` rows, or much more than ``chars`` bytes unless one text does."""
     for batch in batches:
         at = 0
