@@ -73,7 +73,6 @@ def _dealt(shards: int, split):
             before[ends[:-1]] = BEGIN
             learn = (~batch.column("held_out").to_numpy(zero_copy_only=False)).astype(np.uint8)
             sizes = np.diff(np.concatenate(([0], ends)))
-            info = pa.array([None], pa.binary())
             for a in range(0, len(tokens), PIECE):
                 piece = (TaskContext.get().partitionId() << 32) | number
                 number += 1
@@ -124,7 +123,7 @@ def _dealt(shards: int, split):
                 ids = batch.column("doc_id").slice(int(first), int(last - first + 1))
                 own = np.bincount(r, minlength=int(last - first + 1))
                 begins = np.array([a <= ends[i] - sizes[i] < a + PIECE for i in range(int(first), int(last) + 1)], np.uint8)
-                table = pa.table({"uid": batch.column("uid").slice(int(first), len(ids)), "n": own.astype(np.int64), "begins": begins})
+                table = pa.table({c: batch.column(c).slice(int(first), len(ids)) for c in ("uid", "doc_id", "held_out")} | {"n": own.astype(np.int64), "begins": begins})
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_table(table)
@@ -132,32 +131,37 @@ def _dealt(shards: int, split):
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([-1 - piece], pa.int64()), "piece": pa.array([piece], pa.int64())}
                                                  | {c: blank for c in ("words", "parents", "befores", "pairs", "docs", "times")}
                                                  | {"info": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-            del info
     return run
 
 
-def _shard_scores(held: list[dict], known: tuple[np.ndarray, np.ndarray], total: float, mass: float) -> Iterator[tuple[int, np.ndarray]]:
+def _shard_scores(held: list[dict], known: tuple[np.ndarray, np.ndarray], total: float, mass: float) -> Iterator[tuple[int, bytes]]:
     """Trie of one shard from its training events, and the sums of all its events per piece and row."""
     words, befores, of_pair, times, learned, where = [], [], [], [], [], []
+    pieces = [row["piece"] for row in held]
     at = 0
+    spans = [len(row["info"]) for row in held]
     for k, row in enumerate(held):
         per_word, per_pair = np.frombuffer(row["parents"], np.int32), np.frombuffer(row["pairs"], np.uint16)
         words.append(np.repeat(np.frombuffer(row["words"], np.int64), per_word))
         befores.append(_from5(row["befores"]))
-        of_pair.append(at + np.repeat(np.arange(len(per_pair)), per_pair))
+        of_pair.append((at + np.repeat(np.arange(len(per_pair)), per_pair)).astype(np.int32))
         at += len(per_pair)
         times.append(np.frombuffer(row["times"], np.int32))
         doc = np.frombuffer(row["docs"], np.uint16).astype(np.int64)
         learned.append(np.frombuffer(row["info"], np.uint8)[doc].astype(bool))
-        where.append(k * 4096 + doc)
+        where.append((k * 4096 + doc).astype(np.int32))
+        row.clear()
+        row["piece"] = pieces[k]
     w, h, pair, times, learned, where = (np.concatenate(x) for x in (words, befores, of_pair, times, learned, where))
     order = np.lexsort((h, w))
     new = np.ones(len(order), bool)
     new[1:] = (w[order][1:] != w[order][:-1]) | (h[order][1:] != h[order][:-1])
-    number = np.empty(len(order), np.int64)
+    number = np.empty(len(order), np.int32)
     number[order] = np.cumsum(new) - 1
-    w, h = w[order][new], h[order][new]
+    order = order[new]
+    w, h = w[order], h[order]
     pair = number[pair]
+    del order, new, number
     count = np.bincount(pair[learned], times[learned], len(w))
     starts = np.nonzero(np.concatenate(([True], w[1:] != w[:-1])))[0]
     word, per_word = w[starts], np.diff(np.concatenate((starts, [len(w)])))
@@ -181,10 +185,10 @@ def _shard_scores(held: list[dict], known: tuple[np.ndarray, np.ndarray], total:
     # each word also is the one before the next, which divides by its count; the end is not
     log = log - np.where(word == END, 0.0, np.log10(whole + mass))[of_word]
     size = len(held) * 4096
-    sums = np.stack([np.bincount(where, times * x[pair], size) for x in (base[of_word], log, seen_word[of_word].astype(float))])
-    for k, row in enumerate(held):
-        rows = len(row["info"])
-        yield row["piece"], sums[:, k * 4096:k * 4096 + rows]
+    sums = [np.bincount(where, times * x[pair], size) for x in (base[of_word], log, seen_word[of_word].astype(float))]
+    for k, rows in enumerate(spans):
+        base_sum, score_sum, n_known = (x[k * 4096:k * 4096 + rows] for x in sums)
+        yield pieces[k], base_sum.tobytes() + score_sum.tobytes() + np.round(n_known).astype(np.int32).tobytes()
 
 
 def _scored(known, total: float, mass: float):
@@ -193,7 +197,7 @@ def _scored(known, total: float, mass: float):
 
     def out(held):
         for piece, sums in _shard_scores(held, known.value, total, mass):
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([0], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["piece", "kind", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([0], pa.int32()), pa.array([sums], pa.binary())], ["piece", "kind", "data"])
 
     def run(batches):
         shard, held = None, []
@@ -220,9 +224,9 @@ def _gathered(begin: float):
         table = pa.ipc.open_stream(info).read_all()
         n = table.num_rows
         sums = sums if sums is not None else np.zeros((3, n))
-        return pa.RecordBatch.from_arrays([table.column("uid").combine_chunks(), table.column("n").combine_chunks(), pa.array(sums[0]),
+        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("uid", "doc_id", "held_out", "n")), pa.array(sums[0]),
                                            pa.array(sums[1] - begin * table.column("begins").to_numpy()), pa.array(np.round(sums[2]).astype(np.int64))],
-                                          ["uid", "n_tokens", "base_score", "score", "n_known"])
+                                          ["uid", "doc_id", "held_out", "n_tokens", "base_score", "score", "n_known"])
 
     def run(batches):
         piece, info, sums = None, None, None
@@ -235,14 +239,16 @@ def _gathered(begin: float):
                 if kind:
                     info = data.as_buffer()
                 else:
-                    part = np.frombuffer(data.as_buffer(), float).reshape(3, -1)
+                    raw = data.as_buffer().to_pybytes()
+                    n = len(raw) // 20
+                    part = np.stack((np.frombuffer(raw, float, n), np.frombuffer(raw, float, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)))
                     sums = part if sums is None else sums + part
         if info is not None:
             yield out(info, sums)
     return run
 
 
-def score_texts(docs: DataFrame, mass: float = 1000.0, per_shard: int = 4_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, mass: float = 1000.0, per_shard: int = 2_000_000) -> DataFrame:
     """Base and model scores of every row, learned from all rows that are not held out.
 
     Bigrams with Dirichlet smoothing: P(w | h) = (c(hw) + mass * P(w)) / (c(h) + mass), where
@@ -260,7 +266,7 @@ def score_texts(docs: DataFrame, mass: float = 1000.0, per_shard: int = 4_000_00
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), "text", held_out(F.col("doc_id")).alias("held_out"))
     counts = stored(rows.select("text", "held_out").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("d")).first()
     tokens, words, texts = size["n"], size["v"], size["d"]
@@ -276,7 +282,8 @@ def score_texts(docs: DataFrame, mass: float = 1000.0, per_shard: int = 4_000_00
     events = rows.mapInArrow(_dealt(shards, split), EVENTS)
     partial = events.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(_scored(known, total, mass), PARTIAL)
     begin = float(np.log10(texts + mass))
-    sums = partial.repartition("piece").sortWithinPartitions("piece").mapInArrow(_gathered(begin), "uid long, n_tokens long, base_score double, score double, n_known long")
-    per_row = sums.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return rows.select("doc_id", "uid", "held_out").join(per_row, "uid").select(
+    sums = partial.repartition("piece").sortWithinPartitions("piece").mapInArrow(_gathered(begin), "uid long, doc_id long, held_out boolean, n_tokens long, base_score double, score double, n_known long")
+    # a text that was cut has several rows here; ids travel with them, for a second scan could number rows otherwise
+    per_row = sums.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return per_row.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
