@@ -114,6 +114,8 @@ def top_k(rows: DataFrame, is_query, k: int = 10, nodes: int = 2, per_pack: int
     does so at one node at least.  Entries whose seen parts, with the uniform threshold
     for unseen ones, stay below the cutoff are dropped.  Three: the rest are scored whole.
 
+    Objects are told apart by a 64-bit hash of x.  Sums must fit 64 bits.
+
     Queries meet objects in packs of ``per_pack`` rows, at most all pairs of packs, and only
     entries above the cutoff leave a task.  Vectors that are null or hold null or non-finite
     components take no part; shorter vectors count as ended by zeros; a repeated id with
@@ -124,8 +126,7 @@ def top_k(rows: DataFrame, is_query, k: int = 10, nodes: int = 2, per_pack: int
     salted = Window.partitionBy("x", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).orderBy("vec_id")
     kept = once.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k + 1)
     kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
-    objects = stored(kept.groupBy("x").agg(F.min("vec_id").alias("_least"), F.sort_array(F.collect_list("vec_id")).alias("ids"),
-                                           F.lit(0).alias("_")).select(F.xxhash64("x").alias("id"), "x", "ids"), "topk-objects")
+    objects = stored(kept.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("x").alias("id"), "x", "ids"), "topk-objects")
     queries = stored(once.where(is_query).select(F.xxhash64("x").alias("id"), "vec_id", "x"), "topk-queries")
     size = objects.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("w")).first()
     groups, width = max(1, min(1024, size["n"] // per_pack)), max(nodes, size["w"])
