@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.common import WORD, row_key, text_of
+from facetry.llm.common import WORD, row_key, stored, text_of
 
 WEIGHTS = (3, 1, 2)
 #: 2**32 divided by the golden ratio, to the nearest odd number.
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, percent: int = 150, repeats: int = 2, weights:
     side by side.  Reruns agree.
     Returns row_key, doc_id, size, source, source_size, target, taken.
     """
-    rows = sized(docs)
+    rows = stored(sized(docs), "mix-sizes")  # texts are read once
     per = targets(rows, percent, repeats, weights)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block)))
     takes = schedule(per, block).join(per.select(F.col("source").alias("_source"), blocks.alias("_blocks")), F.col("source").eqNullSafe(F.col("_source"))).where(
