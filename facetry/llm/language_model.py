@@ -248,7 +248,7 @@ def _gathered(begin: float):
     return run
 
 
-def score_texts(docs: DataFrame, mass: float = 1000.0, per_shard: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, mass: float = 1000.0, per_shard: int = 1_000_000) -> DataFrame:
     """Base and model scores of every row, learned from all rows that are not held out.
 
     Bigrams with Dirichlet smoothing: P(w | h) = (c(hw) + mass * P(w)) / (c(h) + mass), where
