@@ -53,20 +53,20 @@ FAMILIES = [
     ("ncsa", "ncsa", ("ncsa",), ()),
 ]
 
-#: label, keyword, words of a sentence that only this text has.
+#: label, keyword (part of every match), words of a sentence that only this text has.
 SENTENCES = [
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("zlib", "implied", r"this software is provided as is without any express or implied warranty in no event will the authors"),
-    ("apache", "apache", r"you may not use this file except in compliance with the license"),
+    ("apache", "compliance", r"you may not use this file except in compliance with the license"),
     ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
     ("agpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("bsl", "boost", r"distributed under the boost software license"),
-    ("wtfpl", "wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license"),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies of this license"),
     ("public domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("cc0", "waive", r"waived all copyright and related or neighboring rights"),
@@ -75,10 +75,6 @@ SENTENCES = [
 #: The phrases of the contract: label and words.  They are never suppressed.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
-#: A text without any of these holds no detection: each rule needs one of them, if only as part of a word.
-GATE = ("licens", "licenc", "hereby", "redistribut", "warrant", "domain", "reserved", "unencumbered", "waived", "spdx", "gpl", "apache", "mozilla",
-        "creative", "cc by", "cc-by", "cc0")
-
 #: Confidence of a rule by its priority.
 CONFIDENCE = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.7}
 LEVELS = len(CONFIDENCE)
@@ -113,6 +109,14 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: r.priority)
 
 
+#: All rules but those of a version hold "license" or "licence", or they are sentences and hold their keyword.
+GATE = ("licens", "licenc", *sorted({max(keyword.split(), key=len) for _, keyword, _ in SENTENCES}))
+
+#: What every version rule needs, in lower-case text that is not yet split into words: a whole name of a family with versions and a number behind it.
+VERSIONED = (WORD.replace("[^", "(?<![^", 1)[:-1] + ")(?:" + "|".join(sorted({n.replace(" ", GAP) for _, _, names, versions in FAMILIES if versions for n in names}))
+             + f"){GAP}(?:licen[cs]e{GAP})?(?:version{GAP}|v{GAP})?v?[0-9]")
+
+
 def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
@@ -135,7 +139,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """License labels of every row of ``docs``.
 
     Texts become lower-case words between single blanks.  A rule is tried only where the
-    text holds its keyword; a text without any keyword is never rewritten.  Detections
+    text holds its keyword; a text that meets no rule's need (``GATE``, ``VERSIONED``) is
+    never rewritten.  Detections
     are word intervals.  One that lies inside an interval of a rule of higher priority
     is suppressed; the phrases of the contract always keep their label.
 
@@ -152,6 +157,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for word in GATE:
         gate = gate | F.contains(folded, F.lit(word))
+    gate = gate | F.rlike(low, F.lit(VERSIONED))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("n_words"),
                        F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(low, GAP, " ")), F.lit(" "))).alias("norm"))
     tried = rows.withColumn("rule", F.explode_outer(F.when(F.col("norm").isNotNull(), F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("norm"), k))))))

@@ -175,3 +175,21 @@ def test_license_rules_by_brute_force(spark):
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got) == want
     assert licenses.scan_licenses(docs.where(F.lit(False))).count() == 0
     assert len(licenses.rules()) > 200
+
+
+def test_license_gate_loses_no_rule(spark, monkeypatch):
+    """A text per family, name and version, and per sentence, against the rules without any gate."""
+    texts = [f"Released under {name.replace(' ', gap).upper()}{gap}{by}{v.replace(' ', '.')}, see there" for _, _, names, versions in licenses.FAMILIES for name in names for v in versions
+             for gap, by in ((" ", ""), ("\n -", "v"), ("_", "Version "))]
+    texts += [f"({name} {words})" for _, _, names, _ in licenses.FAMILIES for name in names for words in ("License", "licences")]
+    texts += [f"SPDX-License-Identifier: {short.replace(' ', '-')}" for _, short, _, _ in licenses.FAMILIES]
+    texts += [re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", pattern) for _, _, pattern in licenses.SENTENCES]
+    texts += ["MPL", "sample 2.0", "mpl2.0", "MPLv2", "public\ndomain", "dedicated to the public\n domain"]
+    with monkeypatch.context() as m:
+        m.setattr(licenses, "GATE", ("",))
+        want = [scan(t) for t in texts]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == want[i], t
+    assert all(w[5] for w in want[:-6]) and [bool(w[5]) for w in want[-6:]] == [False, False, False, False, False, True]
