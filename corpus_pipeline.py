@@ -35,11 +35,12 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near copies: the one with the group's least id, of several with that id the one with the least key.
 
     Equal rows with words stand once.  Rows without words are copies of nothing and stay.
-    Rows with a null id go if they are linked with a row that has one, and stay otherwise.
+    Groups are told apart by their sets, so one id on unrelated texts does not merge them.
+    Null ids come last: such rows go if linked with a row that has an id; of a group without ids one row stays.
     """
     linked = ngram_join.linked_documents(docs)
-    least = linked.where("n_shingles > 0 AND doc_id = component_id").groupBy("component_id").agg(F.min("row_key").alias(KEY)).select(KEY, F.lit(True).alias("_words"))
-    other = linked.where("n_shingles = 0 OR component_id IS NULL").select(F.col("row_key").alias(KEY), F.lit(False).alias("_words")).distinct()
+    least = linked.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("root").agg(F.min("row_key").alias(KEY)).select(KEY, F.lit(True).alias("_words"))
+    other = linked.where("n_shingles = 0").select(F.col("row_key").alias(KEY), F.lit(False).alias("_words")).distinct()
     kept = _keyed(docs).join(least.unionByName(other), KEY)
     return kept.where("_words").dropDuplicates([KEY]).unionByName(kept.where("NOT _words")).select(docs.columns)
 

@@ -22,7 +22,7 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS compon
 
 @query("op3_prefix_tree_join", LINK_SQL)
 def prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).drop("row_key")
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).drop("row_key", "root")
 
 
 @query("op9_prefix_free_repeats")

@@ -321,7 +321,7 @@ def _walked(members: DataFrame, sets: DataFrame, result) -> DataFrame:
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, n_shingles, component_id of every row.
+    """row_key, doc_id, n_shingles, component_id, root of every row; ``root``, the least set, tells components apart.
 
     Equal sets are one.  Shingles shared by several sets of a piece of input are counted;
     the most frequent go last in the global order, so common passages are in few prefixes.
@@ -375,7 +375,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     named = rows.join(roots.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select(
-        "row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -252,3 +252,12 @@ def test_pipeline_runs_and_takes_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert ngram_join.BLOCK and mixing.WEIGHTS
+
+
+def test_near_copies_by_component_and_not_by_id(spark):
+    base = [" ".join(f"{w}{i}" for i in range(50)) for w in "abcd"]
+    rows = [(7, base[0]), (7, base[1]), (8, base[0] + " tail"), (9, base[1] + " tail"), (None, base[2]), (None, base[2]), (None, base[2] + " tail"), (None, base[3]), (6, base[3] + " tail"), (None, " "), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies_out(spark, docs, "").collect())
+    one = [k for k in kept if k in rows[4:7]]
+    assert len(one) == 1 and kept == Counter([(7, base[0]), (7, base[1]), (6, base[3] + " tail"), (None, " "), (None, None), *one])
