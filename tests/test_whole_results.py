@@ -84,3 +84,12 @@ def test_pairs_without_vectors_are_lost(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "entity_id long, vector array<double>")
     got = similarity.similarity_preserved(rows, vectors).first()
     assert (got.pairs, got.lost, got.without_vector, got.preserved) == (3, 2, 2, False)
+
+
+def test_similarity_preserved_reads_all_vectors(spark):
+    import __spark_entry__
+    from conftest import SF
+    known = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    suppliers = {r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()}
+    got = __spark_entry__.queries()["similarity_preserved"](spark, SF).first()
+    assert suppliers <= known and got.pairs > 0 and got.without_vector == 0
