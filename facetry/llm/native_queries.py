@@ -121,7 +121,7 @@ FROM c LEFT JOIN hits ON hits.capture_id = c.capture_id AND r = 1
 @query("op6_temporal_url_lists", URL_SQL)
 def temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.filter_urls(captures(pages), list_entries(pages))
+    return urls.filter_urls(captures(pages), list_entries(pages), least_labels=2)  # the SQL's limit
 
 
 MIX_SQL = r"""

@@ -193,3 +193,15 @@ def test_license_gate_loses_no_rule(spark, monkeypatch):
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == want[i], t
     assert all(w[5] for w in want[:-6]) and [bool(w[5]) for w in want[-6:]] == [False, False, False, False, False, True]
+
+
+def test_url_entries_of_every_shape(spark):
+    day = date(2024, 1, 1)
+    names = ["a.com/x/y", "a.com/x", "HTTPS://u@B.org:443/Deep/er/path/#f", "Upper.NET", "intranet", "zz", "c.com/p?id=5", " d.com. ", "ftp://e.com", "f.com/", ""]
+    entries = spark.createDataFrame([(n, "block", day) for n in names], "pattern string, action string, day date")
+    want = {"http://a.com/x/y/z": (2, "a.com/x/y"), "http://www.a.com/x/": (1, "a.com/x"), "http://a.com/x/yy": (1, "a.com/x"), "http://a.com/xx": (0, None), "http://a.com//x": (0, None),
+            "http://b.org/Deep/er/path?q#g": (1, "b.org/Deep/er/path"), "http://b.org/deep/er/path": (0, None), "http://b.org/Deep/er": (0, None), "http://w.upper.net/1": (1, "upper.net"),
+            "https://intranet/home": (1, "intranet"), "http://any.where.zz": (1, "zz"), "http://c.com/p?id=5": (1, "c.com/p?id=5"), "http://c.com/p?id=55": (0, None), "http://c.com/p": (0, None),
+            "http://d.com/a/b/c/d/e/f": (1, "d.com"), "http://e.com": (0, None), "http://ftp/e.com": (0, None), "http://f.com": (1, "f.com"), "http://[::1]/x": (0, None)}
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(want)], "capture_id long, url string, fetched date")
+    assert {r.url: (r.n_active, r.pattern) for r in urls.filter_urls(captures, entries).collect()} == want
