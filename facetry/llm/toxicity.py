@@ -145,11 +145,12 @@ def fit_chain(row_of: np.ndarray, feature: np.ndarray, labels: np.ndarray, fold:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Linear], list[float]]:
-    """The chain from a bounded sample of the labelled rows; a label row without text or with null labels is left out."""
+    """The chain from a bounded sample of the labelled ids, one row each; a label row without text or with null labels is left out."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(1 - F.col("quality")).cast("double").alias(CATEGORIES[0]), F.max("toxic").cast("double").alias(CATEGORIES[1]))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, and so is its broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # of several rows with an id the one with the least key, so a repeated id neither fills the sample nor outweighs others
+    texts = docs.select("doc_id", "text", row_key().alias("key")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *CATEGORIES).agg(F.min_by("text", "key").alias("text"))
     rows = stored(texts.mapInArrow(_features, f"doc_id long, {CATEGORIES[0]} double, {CATEGORIES[1]} double, features binary"), "toxicity-sample")
 
     def learn(batches):

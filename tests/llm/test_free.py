@@ -261,3 +261,11 @@ def test_near_copies_by_component_and_not_by_id(spark):
     kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies_out(spark, docs, "").collect())
     one = [k for k in kept if k in rows[4:7]]
     assert len(one) == 1 and kept == Counter([(7, base[0]), (7, base[1]), (6, base[3] + " tail"), (None, " "), (None, None), *one])
+
+
+def test_repeated_ids_weigh_once_in_the_sample(spark):
+    rows = [(d, t) for d, t, _ in toxic_rows(np.random.default_rng(9), 120)]
+    labels = spark.createDataFrame([(d, 1, x) for d, _, x in toxic_rows(np.random.default_rng(9), 120)], "doc_id long, quality int, toxic int")
+    fit = lambda more: toxicity.train(spark.createDataFrame(rows + more, "doc_id long, text string"), labels)
+    (once, cuts), (often, same) = fit([]), fit([rows[0]] * 300)
+    assert cuts == same and all((a.weights == b.weights).all() and a.bias == b.bias for a, b in zip(once, often, strict=True))
