@@ -256,7 +256,7 @@ def knn_graph(spark, sf):
 @query("structural_embed")
 def structural_embed(spark, sf):
     graph = embed.knn_graph(nb.dense_rows(B.embeddings(spark, sf), "entity_id", "vector"), 20)
-    rows = embed.structural_embed(graph, 12, 6)
+    rows = embed.structural_embed(graph, 12)
     return tidy(rows.select("entity_id", *[F.col("embedding")[i].alias(f"e{i:02d}") for i in range(12)]))
 
 
@@ -269,7 +269,7 @@ def kmeans_families(spark, sf):
     rows = reliable(calibrate.sphere_coords(embed.pca_embed(colored, 12)))
     cal = reliable(calibrate.calibrate_colors(rows))
     normed = calibrate.axis_norms(rows, cal).join(B.customers(spark, sf).select("entity_id", "supergroup"), "entity_id")
-    return tidy(insights.families(reliable(normed), profile, cal, restarts=3))
+    return tidy(insights.families(reliable(normed), profile, cal))
 
 
 @query("cluster_summary", f"""WITH {SPHERE} SELECT supergroup AS label, count(*) AS members, string_agg(DISTINCT "group"::VARCHAR, ',' ORDER BY "group"::VARCHAR) AS groups, round(avg(x) + 0, 6) AS x, round(avg(y) + 0, 6) AS y, round(avg(z) + 0, 6) AS z, round(avg(abs(vector[4])), 6) AS w_abs FROM geo3 GROUP BY 1""")

@@ -93,3 +93,22 @@ def test_similarity_preserved_reads_all_vectors(spark):
     suppliers = {r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()}
     got = __spark_entry__.queries()["similarity_preserved"](spark, SF).first()
     assert suppliers <= known and got.pairs > 0 and got.without_vector == 0
+
+
+def test_queries_run_the_operators_default_steps(spark, monkeypatch):
+    import __spark_entry__
+    from facetry.plans import color_queries
+    seen = []
+    monkeypatch.setattr(color_queries, "tidy", lambda rows: rows)
+    monkeypatch.setattr(color_queries, "reliable", lambda rows: rows)
+    for name in ("dense_profile", "pca_embed", "knn_graph"):
+        monkeypatch.setattr(color_queries.embed, name, lambda rows, *_: rows)
+    monkeypatch.setattr(color_queries.embed, "color_embed", lambda rows: (rows, None))
+    for name in ("sphere_coords", "calibrate_colors", "axis_norms"):
+        monkeypatch.setattr(color_queries.calibrate, name, lambda rows, *_: rows)
+    monkeypatch.setattr(color_queries.insights, "families", lambda *_, **given: seen.append(given))
+    real = color_queries.embed.structural_embed
+    monkeypatch.setattr(color_queries.embed, "structural_embed", lambda *given: seen.append(given[2:]) or spark.range(1).selectExpr("id AS entity_id", "array_repeat(0.0, 12) AS embedding"))
+    for name in ("kmeans_families", "structural_embed"):
+        __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == [{}, ()] and real.__defaults__[-1] == 10
