@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import language_model, ngram_join, repeats, toxicity
+from facetry.llm import language_model, ngram_join, periodic_runs, repeats, toxicity
 from facetry.llm.common import table
+from facetry.llm.native_queries import CRC_TABLE
 from facetry.llm.registry import query
 
 LINK_SQL = r"""
@@ -39,3 +40,31 @@ def elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.drop("row_key").withColumns({c: F.round(c, 6) for c in ("p_low_quality", "p_toxic")})
+
+
+RUN_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT row, doc_id, w, len(w)::BIGINT AS n, coalesce(xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295), 1) AS h FROM d, crc_table),
+a AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM h),
+x AS (SELECT row, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w FROM a),
+g AS (SELECT row, i, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 4)) AS i FROM x WHERE len(w) >= 6)),
+m AS (SELECT a.row, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.row = b.row AND a.g = b.g AND a.i < b.i),
+s AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS k FROM m),
+t AS (SELECT row, q, min(i) - 1 AS start, max(i) - min(i) + 6 + q AS length FROM s GROUP BY row, q, k HAVING max(i) - min(i) + 6 + q >= greatest(12, 2 * q)),
+runs AS (SELECT row, start::BIGINT AS start, length::BIGINT AS length, min(q)::BIGINT AS period FROM t GROUP BY 1, 2, 3),
+r AS (SELECT row, count(*) AS n_runs, list({{'l': -length, 's': start, 'p': period}} ORDER BY -length, start, period)[1] AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY row),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT row, unnest(range(len(w))) AS i, unnest(w) AS w FROM x SEMI JOIN runs USING (row)),
+kept AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s AS start, -best.l AS length, best.p AS period, (1000 * -best.l // best.p)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, array_to_string(w, ' '))) AS collapsed_sha256
+FROM x LEFT JOIN r USING (row) LEFT JOIN kept USING (row)
+"""
+
+
+@query("op11_periodic_runs", RUN_SQL)
+def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
