@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import language_model, ngram_join, periodic_runs, repeats, toxicity
+from facetry.llm import language_model, near_vectors, ngram_join, periodic_runs, repeats, token_alignment, toxicity
 from facetry.llm.common import table
 from facetry.llm.native_queries import CRC_TABLE
 from facetry.llm.registry import query
@@ -68,3 +68,24 @@ FROM x LEFT JOIN r USING (row) LEFT JOIN kept USING (row)
 @query("op11_periodic_runs", RUN_SQL)
 def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.row AS a, b.row AS b FROM good a JOIN good b ON a.row <> b.row AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT row, row AS other FROM v UNION SELECT r.row, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT r.row, min(o.vec_id) AS component_id FROM r JOIN v o ON o.row = r.other GROUP BY 1),
+n AS (SELECT a AS row, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (row) LEFT JOIN n USING (row)
+"""
+
+
+@query("op12_near_vectors", NEAR_SQL)
+def near_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("op13_token_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_links(table(spark, sf_dir, "documents"))
