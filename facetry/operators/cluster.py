@@ -4,30 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.operators import lloyd
 from facetry.operators import neighbours as nb
+from facetry.operators.ordering import with_position
 from facetry.runtime import reliable
 
 
-def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42, restarts: int = 10, vector_col: str = "vector") -> DataFrame:
-    """Best of several seeded runs by training cost: adds ``label`` (larger clusters first)."""
-    rows = reliable(vectors.withColumn("_x", array_to_vector(F.col(vector_col).cast("array<double>"))))
-    models = [KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="_p").fit(rows) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    labelled = best.transform(rows)
-    return _ordered_labels(labelled.drop("_x"), "_p")
+def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42, restarts: int = 10, vector_col: str = "vector", rounds: int = 20,
+           tolerance: float = 1e-4) -> DataFrame:
+    """Best of several seeded runs by their cost: adds ``label`` (larger clusters first; -1 for a null vector).
+
+    All runs share each pass over the rows (see ``lloyd``): k passes for the first centres,
+    at most ``rounds`` for the moves and one for the costs, however many restarts there are.
+    """
+    centres = lloyd.best_centres(vectors, k, seed, restarts, rounds, tolerance, vector_col)
+    return _ordered_labels(reliable(lloyd.nearest_centre(vectors, centres, "_p", vector_col)), "_p")
 
 
 def _ordered_labels(rows: DataFrame, raw: str) -> DataFrame:
-    """Replace raw labels by 0.. in order of size, then smallest entity; null stays -1."""
-    sizes = rows.where(F.col(raw).isNotNull()).groupBy(raw).agg(F.count(F.lit(1)).alias("_n"), F.min("entity_id").alias("_first"))
-    ranked = sizes.withColumn("label", (F.row_number().over(Window.orderBy(F.desc("_n"), "_first")) - 1).cast("int"))
-    return rows.join(ranked.select(raw, "label"), raw, "left").withColumn("label", F.coalesce("label", F.lit(-1))).drop(raw)
+    """Replace raw labels by 0.. in order of size, then smallest entity; null stays -1.
+
+    Clusters are numbered by a range sort, as their number may grow with the rows; noise takes no part in the join.
+    """
+    marked = rows.where(F.col(raw).isNotNull())
+    sizes = marked.groupBy(raw).agg(F.count(F.lit(1)).alias("_n"), F.min("entity_id").alias("_first"))
+    ranked = with_position(sizes, F.desc("_n"), F.col("_first"), name="label").select(raw, F.col("label").cast("int").alias("label"))
+    noise = rows.where(F.col(raw).isNull()).withColumn("label", F.lit(-1)).drop(raw)
+    return marked.join(ranked, raw).drop(raw).unionByName(noise)
 
 
 def core_distance(rows: DataFrame, min_samples: int = 5) -> DataFrame:
@@ -114,28 +122,36 @@ def density_clusters(rows: DataFrame, eps: float, min_cluster_size: int = 5, min
 
 
 def density_sweep(rows: DataFrame, grid: Sequence[tuple[float, int, int]]) -> DataFrame:
-    """``density_clusters`` for each (eps, min_cluster_size, min_samples), core distances shared.
+    """Clusters and noise of ``density_clusters`` for each (eps, min_cluster_size, min_samples).
 
-    One summary row per setting; a setting that fails gives a row with its error.
+    Settings with the same ``min_samples`` are cuts of one spanning tree (see ``tree``) and
+    share all rounds, so further radii cost no further passes over the rows.  One summary
+    row per setting; a setting that fails gives a row with its error.
     """
+    from facetry.operators import tree
+
     rows = reliable(rows)
-    cores: dict[int, DataFrame] = {}
-    out = None
-    for eps, size, samples in grid:
-        head = [F.lit(float(eps)).alias("eps"), F.lit(size).alias("min_cluster_size"), F.lit(samples).alias("min_samples")]
+    spark = rows.sparkSession
+    total = rows.count()
+    schema = "eps double, min_cluster_size int, min_samples int, clusters bigint, noise_ratio double, error string"
+    out = [spark.createDataFrame([(float(e), s, m, None, None, "eps must not be negative") for e, s, m in grid if e < 0], schema)]
+    for samples in sorted({m for e, _, m in grid if e >= 0}):
+        mine = [(float(e), s) for e, s, m in grid if m == samples and e >= 0]
         try:
-            if eps < 0:
-                raise ValueError("eps must not be negative")
-            if samples not in cores:
-                cores[samples] = reliable(core_distance(rows, max(1, samples)))
-            labels = density_clusters(rows, eps, size, samples, cores[samples])
-            row = label_stats(labels).select(*head, "clusters", "noise_ratio", F.lit(None).cast("string").alias("error"))
+            core = reliable(core_distance(rows, max(1, samples)))
+            edges = tree.reach_tree(rows, max(e for e, _ in mine), samples, core)
+            held = [(e, min(max(2, s), max(total, 1))) for e, s in mine]
+            found = reliable(tree.tree_cuts(edges, core, held).groupBy("setting").agg(F.countDistinct("component").alias("clusters"), F.count(F.lit(1)).alias("n")))
+            names = spark.createDataFrame([(n, e, s, samples) for n, (e, s) in enumerate(mine)], "setting int, eps double, min_cluster_size int, min_samples int")
+            out.append(names.join(found, "setting", "left").select(
+                "eps", "min_cluster_size", "min_samples", F.coalesce("clusters", F.lit(0)).cast("bigint").alias("clusters"),
+                F.try_divide(F.lit(total) - F.coalesce("n", F.lit(0)), F.lit(total)).alias("noise_ratio"), F.lit(None).cast("string").alias("error")))
         except Exception as problem:  # noqa: BLE001 - the sweep reports failures as rows
-            row = rows.sparkSession.range(1).select(
-                *head, F.lit(None).cast("bigint").alias("clusters"), F.lit(None).cast("double").alias("noise_ratio"),
-                F.lit(str(problem)).alias("error"))
-        out = row if out is None else out.unionByName(row)
-    return out
+            out.append(spark.createDataFrame([(e, s, samples, None, None, str(problem)) for e, s in mine], schema))
+    result = out[0]
+    for part in out[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def label_stats(labels: DataFrame) -> DataFrame:

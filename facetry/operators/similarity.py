@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetry.functions import vectors as V
+from facetry.operators import inverted
 from facetry.operators import neighbours as nb
 from facetry.operators.ordering import top_k_per_group
 from facetry.runtime import reliable, scalar
@@ -52,7 +53,7 @@ def similar_pairs(rows: DataFrame, threshold: float, strict: bool = True) -> Dat
     instead of a square of pairs; nothing is lost.
     """
     reps, members = nb._distinct(nb.unit_rows(rows))
-    found = nb.radius_join(reps, threshold, "cosine", strict=strict)
+    found = _close_pairs(reps, threshold, strict)
     if members is None:
         return found.withColumn("copies_a", F.lit(1).cast("bigint")).withColumn("copies_b", F.lit(1).cast("bigint"))
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"))
@@ -61,6 +62,14 @@ def similar_pairs(rows: DataFrame, threshold: float, strict: bool = True) -> Dat
             .select("id", "neighbour_id", "value", "copies_a", "copies_b"))
 
 
+def _close_pairs(rows: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
+    """Sparse profiles by the inverted index, dense vectors by blocks."""
+    first = rows.select(F.col("terms").isNotNull().alias("sparse")).head()
+    if first and first["sparse"] and threshold > 0:
+        return inverted.similar_join(rows, threshold, strict)
+    return nb.radius_join(rows, threshold, "cosine", strict=strict)
+
+
 def copy_groups(rows: DataFrame) -> DataFrame:
     """Members of every group of identical profiles: (rep, id)."""
     same = ["terms", "weights"]
@@ -329,7 +338,7 @@ def mean_pair_distance(entities: DataFrame, n: int = 50, span: int = 9, weight_c
 
 def similarity_preserved(rows: DataFrame, vectors: DataFrame, raw_above: float = 0.80, kept_above: float = 0.50) -> DataFrame:
     """Whether every pair above ``raw_above`` keeps an embedding cosine above ``kept_above``; a pair without vectors is lost."""
-    pairs = nb.radius_join(rows, raw_above).select(F.col("id").alias("a_id"), F.col("neighbour_id").alias("b_id"), F.col("value").alias("raw"))
+    pairs = _close_pairs(reliable(rows), raw_above).select(F.col("id").alias("a_id"), F.col("neighbour_id").alias("b_id"), F.col("value").alias("raw"))
     both = cosine_of_vector_pairs(vectors, pairs, how="left")
     kept = F.coalesce(F.col("cosine") > kept_above, F.lit(False))
     return both.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~kept).alias("lost"), F.count_if(F.col("cosine").isNull()).alias("without_vector"),

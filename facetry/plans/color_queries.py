@@ -300,7 +300,16 @@ def density_clusters(spark, sf):
     return tidy(cluster.density_clusters(nb.dense_rows(B.embeddings(spark, sf), "entity_id", "vector"), EPS, 5, 5))
 
 
-@query("density_sweep")
+_SWEEP = f"""WITH RECURSIVE {_DIST}, g AS (SELECT unnest([1.0::DOUBLE, {EPS}::DOUBLE]) AS eps),
+e AS (SELECT eps, d.i, d.j FROM d JOIN core a ON a.i = d.i JOIN core b ON b.i = d.j JOIN g ON greatest(d, a.core, b.core) <= eps),
+reach AS (SELECT eps, i, i AS j FROM core JOIN g ON core <= eps UNION SELECT reach.eps, reach.i, e.j FROM reach JOIN e ON e.i = reach.j AND e.eps = reach.eps),
+comp AS (SELECT eps, i, min(j) AS c FROM reach GROUP BY 1, 2), big AS (SELECT eps, c, count(*) AS n FROM comp GROUP BY 1, 2 HAVING count(*) >= 5),
+r AS (SELECT g.eps, count(c) AS clusters, coalesce(sum(n), 0) AS held FROM g LEFT JOIN big ON big.eps = g.eps GROUP BY 1)
+SELECT eps, 5 AS min_cluster_size, 5 AS min_samples, clusters, round(1 - held / (SELECT count(*) FROM em), 6) AS noise_ratio, NULL::VARCHAR AS error FROM r
+UNION ALL SELECT -1.0, 5, 5, NULL, NULL, 'eps must not be negative'"""
+
+
+@query("density_sweep", _SWEEP)
 def density_sweep(spark, sf):
     rows = nb.dense_rows(B.embeddings(spark, sf), "entity_id", "vector")
     return tidy(cluster.density_sweep(rows, [(1.0, 5, 5), (EPS, 5, 5), (-1.0, 5, 5)]))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.keys import fold_accents
+from facetry.operators import terms
 from facetry.operators.ordering import page, page_stats
 from facetry.operators.records import project_metadata
 
@@ -24,56 +25,19 @@ def name_search(entities: DataFrame, query: str, columns: Sequence[str], seq_col
     return found if limit is None else found.orderBy(seq_col).limit(limit)
 
 
-def allowed_edits(token: str) -> int:
-    """AUTO fuzziness: exact up to 2 letters, one edit up to 5, two above."""
-    return 0 if len(token) <= 2 else 1 if len(token) <= 5 else 2
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case words of a text or key."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def _field_score(text: Column, words: Sequence[str]) -> Column:
-    """Sum over query words of the best 1 - edits/len over the field's distinct words."""
-    field = F.array_distinct(tokens(text))
-    total = F.lit(0.0)
-    for word in words:
-        best = F.array_max(F.transform(field, _closeness(word, allowed_edits(word))))
-        total = total + F.coalesce(best, F.lit(0.0))
-    return total
-
-
-def _swapped(words: set[str]) -> set[str]:
-    """All words after one swap of two neighbouring letters."""
-    return {w[:i] + w[i + 1] + w[i] + w[i + 2:] for w in words for i in range(len(w) - 1) if w[i] != w[i + 1]}
-
-
-def _closeness(word: str, edits: int):
-    """1 - edits / length within the limit, else 0; a swap of neighbouring letters is one edit."""
-    forms, known = {word: 0}, {word}
-    for swaps in range(1, edits + 1):
-        known = _swapped(known)
-        for form in known:
-            forms.setdefault(form, swaps)
-
-    def score(t: Column) -> Column:
-        best = F.lit(0.0)
-        for form, swaps in sorted(forms.items()):
-            d = F.levenshtein(t, F.lit(form), edits - swaps)  # -1 beyond the limit
-            best = F.greatest(best, F.when(d >= 0, 1 - (d + swaps) / F.lit(float(len(word)))).otherwise(F.lit(0.0)))
-        return best
-    return score
-
-
 def ranked_search(entities: DataFrame, query: str | None, fields: Sequence[str], id_col: str = "id") -> DataFrame:
-    """All matches with their score: best field, fuzzy words.  An empty query matches every row."""
+    """All matches with their score: best field, fuzzy words.  An empty query matches every row.
+
+    Fields are texts, lists of texts or score maps (their keys are searched).  Words are
+    compared with the distinct terms of the table, not with every row; ids are unique.
+    ``terms.SearchIndex`` keeps the dictionary for further queries.
+    """
     words = _words(query)
     if not words:
         return entities.withColumn("score", F.lit(1.0))
-    scores = [_field_score(F.col(f).cast("string"), words) for f in fields]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return entities.withColumn("score", best).where(F.col("score") > 0)
+    rows = terms.postings(entities, fields, id_col)
+    near = terms.close_terms(rows.select("term").distinct(), words)
+    return entities.join(terms.scores(rows.join(near, "term"), fields, words, id_col), id_col)
 
 
 def _words(query: str | None) -> list[str]:
@@ -105,7 +69,7 @@ def prefix_search(entities: DataFrame, prefix: str, fields: Sequence[str]) -> Da
     start = prefix.lower()
     hit = F.lit(False)
     for f in fields:
-        hit = hit | F.coalesce(F.exists(tokens(F.col(f).cast("string")), lambda t: t.startswith(start)), F.lit(False))
+        hit = hit | F.coalesce(F.exists(terms.tokens(F.col(f).cast("string")), lambda t: t.startswith(start)), F.lit(False))
     return entities.where(hit)
 
 

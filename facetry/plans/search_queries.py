@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from facetry.operators import ordering, quality
+from facetry.operators import ordering, quality, terms
 from facetry.plans import bindings as B
 from facetry.plans import search
 from facetry.plans.registry import query, tidy
@@ -28,7 +28,7 @@ def name_search_all(spark, sf):
 def _score_sql(field: str, words: list[str]) -> str:
     parts = []
     for w in words:
-        d = search.allowed_edits(w)
+        d = terms.allowed_edits(w)
         parts.append(f"coalesce(list_max([CASE WHEN damerau_levenshtein(t, '{w}') <= {d} THEN 1 - damerau_levenshtein(t, '{w}') / {float(len(w))} ELSE 0.0 END FOR t IN "
                      f"list_filter(string_split_regex(lower({field}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')]), 0.0)")
     return " + ".join(parts)
@@ -45,6 +45,31 @@ def ranked_search(spark, sf):
     return tidy(search.ranked_search(B.table(spark, sf, "part"), "samll gizmoo", FIELDS, "p_partkey").select("p_partkey", "score"))
 
 
+def _keys_score_sql(words: list[str]) -> str:
+    return " + ".join(f"max(CASE WHEN damerau_levenshtein(t, '{w}') <= {terms.allowed_edits(w)} THEN 1 - damerau_levenshtein(t, '{w}') / {float(len(w))} ELSE 0.0 END)" for w in words)
+
+
+_FEATURE_SEARCH = f"""WITH {B.PF}, f AS (SELECT entity_id, unnest(string_split_regex(lower(feature), '[^a-z0-9]+')) AS t FROM pf WHERE kind = 'ing'),
+s AS (SELECT entity_id, {_keys_score_sql(['ecnomy', 'brnad', '31'])} AS score FROM f WHERE t <> '' GROUP BY 1)
+SELECT entity_id, round(score, 6) AS score FROM s WHERE score > 0"""
+
+
+@query("feature_search", _FEATURE_SEARCH)
+def feature_search(spark, sf):
+    """Customers whose score maps hold features near three words."""
+    from facetry.operators.profiles import profile_map
+
+    rows = profile_map(B.customer_profile(spark, sf), "ing")
+    return tidy(search.ranked_search(rows, "ecnomy brnad 31", ["scores"], "entity_id").select("entity_id", "score"))
+
+
+@query("indexed_search", _RANKED + "SELECT p_partkey, round(score, 6) AS score FROM s WHERE score > 0")
+def indexed_search(spark, sf):
+    """The ranked search over a dictionary that was written beforehand."""
+    index = terms.SearchIndex.build(B.table(spark, sf, "part"), FIELDS, "p_partkey", f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    return tidy(index.scores(["samll", "gizmoo"]))
+
+
 @query("search_page", _RANKED + "SELECT part.p_partkey, p_name FROM part JOIN s USING (p_partkey) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20 OFFSET 20")
 def search_page(spark, sf):
     rows, _ = search.search_page(B.table(spark, sf, "part"), "samll gizmoo", FIELDS, 20, 20, ["p_name"], id_col="p_partkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facetry.operators import inverted
 from facetry.operators import neighbours as nb
 from facetry.operators import ordering, quality, similarity
 from facetry.operators.grid import hue_histogram
@@ -42,6 +43,30 @@ def similar_pairs(spark, sf):
     return tidy(similarity.similar_pairs(nb.sparse_rows(B.supplier_profile(spark, sf)), 0.80).select(*PAIRS))
 
 
+_CUSTOMER_PAIRS = f"""WITH {B.PF}, n AS (SELECT entity_id, sqrt(sum(score * score)) AS norm FROM pf GROUP BY 1),
+c AS (SELECT a.entity_id AS id, b.entity_id AS neighbour_id, sum(a.score * b.score) / (any_value(na.norm) * any_value(nb.norm)) AS value
+  FROM pf a JOIN pf b ON a.kind = b.kind AND a.feature = b.feature AND a.entity_id < b.entity_id
+  JOIN n na ON na.entity_id = a.entity_id JOIN n nb ON nb.entity_id = b.entity_id GROUP BY 1, 2)
+"""
+
+
+@query("similar_customers", _CUSTOMER_PAIRS + "SELECT id, neighbour_id, round(value, 6) AS value FROM c WHERE value >= 0.70")
+def similar_customers(spark, sf):
+    """Customers whose profiles reach a cosine of 0.70, by the inverted index."""
+    return tidy(inverted.similar_join(nb.sparse_rows(B.customer_profile(spark, sf)), 0.70, strict=False).select(*PAIRS))
+
+
+@query("similarity_index")
+def similarity_index(spark, sf):
+    """What the index over customer profiles spares at three thresholds."""
+    rows = reliable(nb.sparse_rows(B.customer_profile(spark, sf)))
+    out = None
+    for threshold in (0.70, 0.80, 0.95):
+        one = inverted.index_report(rows, threshold).withColumn("threshold", F.lit(threshold))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("group_pairs", f"""WITH {B.SP_COS}, {B.SM} SELECT a."group", a_id AS id, b_id AS neighbour_id, round(cosine, 6) AS value FROM sp_cos
 JOIN sm a ON a.entity_id = a_id JOIN sm b ON b.entity_id = b_id AND a."group" = b."group" WHERE cosine >= 0.75""")
 def group_pairs(spark, sf):
@@ -279,11 +304,11 @@ def rank_no_ties(spark, sf):
 
 
 @query("similarity_preserved", f"""WITH {B.SP_COS}, first3 AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT a.*, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS kept
- FROM sp_cos a LEFT JOIN first3 x ON x.vec_id = a_id AND x.vec_id % 9 <> 1 LEFT JOIN first3 y ON y.vec_id = b_id AND y.vec_id % 9 <> 1 WHERE cosine > 0.80)
+ FROM sp_cos a LEFT JOIN first3 x ON x.vec_id = a_id LEFT JOIN first3 y ON y.vec_id = b_id WHERE cosine > 0.80)
 SELECT count(*) AS pairs, count(*) FILTER (WHERE kept IS NULL OR kept <= 0.5) AS lost, count(*) FILTER (WHERE kept IS NULL) AS without_vector, round(coalesce(min(kept), 1.0), 6) AS lowest,
  coalesce(bool_and(coalesce(kept > 0.5, false)), true) AS preserved FROM k""")
 def similarity_preserved(spark, sf):
-    """Supplier pairs above 0.80 against all vectors of the same number; the SQL still leaves out every ninth vector."""
+    """Supplier pairs above 0.80 against all vectors of the same number."""
     rows = similarity.similarity_preserved(nb.sparse_rows(B.supplier_profile(spark, sf)), B.embeddings(spark, sf))
     return tidy(rows)
 
