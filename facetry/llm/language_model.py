@@ -93,7 +93,8 @@ def _dealt(shards: int, split):
                 place[order] = np.arange(len(order))
                 hs, hl = np.unique(h, return_inverse=True)
                 keys, times = np.unique((place[root] << 31) << 12 | hl << 12 | r, return_counts=True)
-                pair, doc = keys >> 12, (keys & 4095).astype(np.uint16)
+                pair, doc = keys >> 12, keys & 4095
+                doc = (doc | learn[first:last + 1][doc].astype(np.int64) << 15).astype(np.uint16)  # the row, and whether it is learned from
                 new = np.nonzero(np.concatenate(([True], pair[1:] != pair[:-1])))[0]
                 per_pair = np.diff(np.concatenate((new, [len(pair)])))
                 pair = pair[new]
@@ -104,7 +105,7 @@ def _dealt(shards: int, split):
                 cuts = np.nonzero(np.concatenate(([True], shard[order][parents][1:] != shard[order][parents][:-1], [True])))[0]
                 pair_at = np.concatenate(([0], np.cumsum(per_word)))
                 doc_at = np.concatenate(([0], np.cumsum(per_pair)))
-                out = {c: [] for c in ("shard", "words", "parents", "befores", "pairs", "docs", "times", "info")}
+                out = {c: [] for c in ("shard", "words", "parents", "befores", "pairs", "docs", "times")}
                 for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                     p0, p1 = pair_at[s], pair_at[e]
                     d0, d1 = doc_at[p0], doc_at[p1]
@@ -115,9 +116,8 @@ def _dealt(shards: int, split):
                     out["pairs"].append(per_pair[p0:p1].astype(np.uint16).tobytes())
                     out["docs"].append(doc[d0:d1].tobytes())
                     out["times"].append(np.minimum(times[d0:d1], 1 << 31).astype(np.int32).tobytes())
-                    out["info"].append(learn[first:last + 1].tobytes())
-                kinds = dict.fromkeys(("words", "parents", "befores", "pairs", "docs", "times", "info"), pa.binary()) | {"shard": pa.int64()}
-                rows = {c: pa.array(v, kinds[c]) for c, v in out.items()} | {"piece": pa.array([piece] * len(out["shard"]), pa.int64())}
+                kinds = dict.fromkeys(("words", "parents", "befores", "pairs", "docs", "times"), pa.binary()) | {"shard": pa.int64()}
+                rows = {c: pa.array(v, kinds[c]) for c, v in out.items()} | {"piece": pa.array([piece] * len(out["shard"]), pa.int64()), "info": pa.array([b""] * len(out["shard"]), pa.binary())}
                 yield pa.RecordBatch.from_pydict({c: rows[c] for c in ("shard", "piece", "words", "parents", "befores", "pairs", "docs", "times", "info")})
                 # the rows themselves: id, key and share of the tokens go on without a shard of their own
                 ids = batch.column("doc_id").slice(int(first), int(last - first + 1))
@@ -135,11 +135,10 @@ def _dealt(shards: int, split):
 
 
 def _shard_scores(held: list[dict], known: tuple[np.ndarray, np.ndarray], total: float, mass: float) -> Iterator[tuple[int, bytes]]:
-    """Trie of one shard from its training events, and the sums of all its events per piece and row."""
+    """Trie of one shard from its training events, and the sums of all its events per piece and row; rows without an event there are left out."""
     words, befores, of_pair, times, learned, where = [], [], [], [], [], []
     pieces = [row["piece"] for row in held]
     at = 0
-    spans = [len(row["info"]) for row in held]
     for k, row in enumerate(held):
         per_word, per_pair = np.frombuffer(row["parents"], np.int32), np.frombuffer(row["pairs"], np.uint16)
         words.append(np.repeat(np.frombuffer(row["words"], np.int64), per_word))
@@ -148,8 +147,8 @@ def _shard_scores(held: list[dict], known: tuple[np.ndarray, np.ndarray], total:
         at += len(per_pair)
         times.append(np.frombuffer(row["times"], np.int32))
         doc = np.frombuffer(row["docs"], np.uint16).astype(np.int64)
-        learned.append(np.frombuffer(row["info"], np.uint8)[doc].astype(bool))
-        where.append((k * 4096 + doc).astype(np.int32))
+        learned.append(doc >= 1 << 15)
+        where.append(k * 4096 + (doc & 4095))
         row.clear()
         row["piece"] = pieces[k]
     w, h, pair, times, learned, where = (np.concatenate(x) for x in (words, befores, of_pair, times, learned, where))
@@ -184,11 +183,12 @@ def _shard_scores(held: list[dict], known: tuple[np.ndarray, np.ndarray], total:
     log = np.where(child >= 0, trie.log(1, np.maximum(child, 0)) if len(trie.codes[1]) else 0.0, backed[of_word])
     # each word also is the one before the next, which divides by its count; the end is not
     log = log - np.where(word == END, 0.0, np.log10(whole + mass))[of_word]
-    size = len(held) * 4096
-    sums = [np.bincount(where, times * x[pair], size) for x in (base[of_word], log, seen_word[of_word].astype(float))]
-    for k, rows in enumerate(spans):
-        base_sum, score_sum, n_known = (x[k * 4096:k * 4096 + rows] for x in sums)
-        yield pieces[k], base_sum.tobytes() + score_sum.tobytes() + np.round(n_known).astype(np.int32).tobytes()
+    row, where = np.unique(where, return_inverse=True)
+    sums = [np.bincount(where, times * x[pair], len(row)) for x in (base[of_word], log, seen_word[of_word].astype(float))]
+    cuts = np.searchsorted(row, np.arange(len(pieces) + 1) * 4096)
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        base_sum, score_sum, n_known = (x[a:b] for x in sums)
+        yield pieces[k], base_sum.tobytes() + score_sum.tobytes() + np.round(n_known).astype(np.int32).tobytes() + (row[a:b] & 4095).astype(np.uint16).tobytes()
 
 
 def _scored(known, total: float, mass: float):
@@ -223,7 +223,7 @@ def _gathered(begin: float):
     def out(info, sums):
         table = pa.ipc.open_stream(info).read_all()
         n = table.num_rows
-        sums = sums if sums is not None else np.zeros((3, n))
+        sums = sums[:, :n] if sums is not None else np.zeros((3, n))
         return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("uid", "doc_id", "held_out", "n")), pa.array(sums[0]),
                                            pa.array(sums[1] - begin * table.column("begins").to_numpy()), pa.array(np.round(sums[2]).astype(np.int64))],
                                           ["uid", "doc_id", "held_out", "n_tokens", "base_score", "score", "n_known"])
@@ -240,9 +240,9 @@ def _gathered(begin: float):
                     info = data.as_buffer()
                 else:
                     raw = data.as_buffer().to_pybytes()
-                    n = len(raw) // 20
-                    part = np.stack((np.frombuffer(raw, float, n), np.frombuffer(raw, float, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)))
-                    sums = part if sums is None else sums + part
+                    n = len(raw) // 22
+                    sums = np.zeros((3, 4096)) if sums is None else sums
+                    sums[:, np.frombuffer(raw, np.uint16, n, 20 * n)] += np.stack((np.frombuffer(raw, float, n), np.frombuffer(raw, float, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)))
         if info is not None:
             yield out(info, sums)
     return run

@@ -68,7 +68,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(order):
     """The prefix of every set: one row a shingle, with twice the set's size, plus one if the place is late in the prefix."""
     def run(batches):
-        known = order.value
+        known = Order(*order.value)
         for piece in text_batches(batches):
             done, tokens, sizes, sids = set(), [], [], []
             for own in shingle_sets(piece.column("text")):
@@ -123,7 +123,7 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(order, wanted, whole: bool):
     """Rare shingles and frequent ranks of the sets whose bit is set, whole or of their prefix, once a piece."""
     def run(batches):
-        known, bits = order.value, wanted.value
+        known, bits = Order(*order.value), wanted.value
         for piece in text_batches(batches):
             done, out = set(), {"sid": [], "n": [], "rare": [], "frequent": []}
             for own in shingle_sets(piece.column("text")):
@@ -342,7 +342,8 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     profile = stored(texts.mapInArrow(_profile, "kind int, id long, sid long, n long, row long"), "ngram-profile")
     rows = profile.where("kind = 0").select(F.col("row").alias("row_key"), F.col("id").alias("doc_id"), "sid", F.col("n").alias("n_shingles"))
     often = profile.where("kind = 1").groupBy("id").agg(F.sum("sid").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow()
-    order = spark.sparkContext.broadcast(Order(often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy()))
+    # plain arrays: a broadcast is read before a worker can import this package
+    order = spark.sparkContext.broadcast((often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy()))
     only = texts.select("text")
     prefixes = only.mapInArrow(_prefixes(order), "token long, size long, sid long")
     pairs = prefixes.repartition("token").sortWithinPartitions("token", "size", "sid").mapInArrow(_hubs, "hub long, sid long").distinct()

@@ -22,10 +22,16 @@ def integer_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return rows.where(whole).select(F.col(key).alias("vec_id"), F.transform(wide, lambda v: F.floor(v * scale).cast("bigint")).alias("x"))
 
 
-def _pack(width: int, nodes: int):
-    """Each batch of (id, x) as one packed row for every node, which holds one stretch of the components."""
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _pack(width: int, nodes: int, rows: int):
+    """Each ``rows`` of (id, x) at most as one packed row for every node, which holds one stretch of the components."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in arrays(batches, "id", "x"):
+        for ids, x in arrays(_cut(batches, rows), "id", "x"):
             ids, flat = ids.to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(x.offsets.to_numpy())
             full = np.zeros((len(ids), width), np.int64)
@@ -38,15 +44,17 @@ def _pack(width: int, nodes: int):
     return run
 
 
-def _partial(n, width, ids, parts, qn, qids, qparts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _partial(n, width, ids, parts, qn, qids, qparts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the first query, queries, objects, their partial scores), 512 queries at a time."""
     objects = np.frombuffer(parts, np.int64).reshape(n, width)
     asked = np.frombuffer(qparts, np.int64).reshape(qn, width)
     most = float(np.abs(objects).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(1, width)
-    if most < 2 ** 53:  # every sum is a whole number that a double holds
-        scores = (asked.astype(float) @ objects.T.astype(float)).astype(np.int64)
-    else:
-        scores = asked @ objects.T
-    return np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64), scores
+    exact = most < 2 ** 53  # every sum is a whole number that a double holds
+    turned = objects.T.astype(float) if exact else objects.T
+    for a in range(0, qn, 512):
+        part = asked[a:a + 512]
+        scores = (part.astype(float) @ turned).astype(np.int64) if exact else part @ turned
+        yield a, np.frombuffer(qids, np.int64)[a:a + 512], np.frombuffer(ids, np.int64), scores
 
 
 def _local_lists(k: int):
@@ -54,11 +62,11 @@ def _local_lists(k: int):
     def run(batches):
         for node, n, w, ids, parts, qn, qids, qparts in arrays(batches, "node", "n", "width", "ids", "parts", "qn", "qids", "qparts"):
             for i in range(len(node)):
-                q, o, s = _partial(n[i].as_py(), w[i].as_py(), ids[i].as_py(), parts[i].as_py(), qn[i].as_py(), qids[i].as_py(), qparts[i].as_py())
-                best = np.argpartition(-s, min(k, len(o)) - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({
-                    "query": np.repeat(q, best.shape[1]), "object": o[best].ravel(),
-                    "node": np.full(best.size, node[i].as_py(), np.int32), "score": np.take_along_axis(s, best, 1).ravel()})
+                for _, q, o, s in _partial(n[i].as_py(), w[i].as_py(), ids[i].as_py(), parts[i].as_py(), qn[i].as_py(), qids[i].as_py(), qparts[i].as_py()):
+                    best = np.argpartition(-s, min(k, len(o)) - 1, axis=1)[:, :k]
+                    yield pa.RecordBatch.from_pydict({
+                        "query": np.repeat(q, best.shape[1]), "object": o[best].ravel(),
+                        "node": np.full(best.size, node[i].as_py(), np.int32), "score": np.take_along_axis(s, best, 1).ravel()})
     return run
 
 
@@ -67,12 +75,11 @@ def _above(nodes: int):
     def run(batches):
         for node, n, w, ids, parts, qn, qids, qparts, cut in arrays(batches, "node", "n", "width", "ids", "parts", "qn", "qids", "qparts", "cuts"):
             for i in range(len(node)):
-                q, o, s = _partial(n[i].as_py(), w[i].as_py(), ids[i].as_py(), parts[i].as_py(), qn[i].as_py(), qids[i].as_py(), qparts[i].as_py())
                 cuts = np.frombuffer(cut[i].as_py(), np.int64)
-                for a in range(0, len(q), 256):
-                    row, col = np.nonzero(s[a:a + 256] >= -(-cuts[a:a + 256] // nodes)[:, None])
+                for a, q, o, s in _partial(n[i].as_py(), w[i].as_py(), ids[i].as_py(), parts[i].as_py(), qn[i].as_py(), qids[i].as_py(), qparts[i].as_py()):
+                    row, col = np.nonzero(s >= -(-cuts[a:a + 512] // nodes)[:, None])
                     if len(row):
-                        yield pa.RecordBatch.from_pydict({"query": q[a + row], "object": o[col], "node": np.full(len(row), node[i].as_py(), np.int32), "score": s[a + row, col]})
+                        yield pa.RecordBatch.from_pydict({"query": q[row], "object": o[col], "node": np.full(len(row), node[i].as_py(), np.int32), "score": s[row, col]})
     return run
 
 
@@ -132,7 +139,7 @@ def top_k(rows: DataFrame, is_query, k: int = 10, nodes: int = 2, per_pack: int
     groups, width = max(1, min(1024, size["n"] // per_pack)), max(nodes, size["w"])
 
     def packed(df: DataFrame, parts: int) -> DataFrame:
-        return df.repartition(max(1, parts), "id").mapInArrow(_pack(width, nodes), PACKED)
+        return df.repartition(max(1, parts), "id").mapInArrow(_pack(width, nodes, per_pack), PACKED)
 
     asked_objects = queries.groupBy("id").agg(F.first("x").alias("x"))
     packs = stored(packed(objects.select("id", "x"), 2 * groups), "topk-packs")

@@ -21,8 +21,6 @@ BEGINNINGS = (4, 5, 6, 7)
 CATEGORIES = ("low_quality", "toxic")
 #: At most this many labelled rows, the least by a hash of their id, are learned from.
 SAMPLE = 12_000
-#: Features of a model: the ones whose log odds are surest.
-FEATURES = 1024
 FOLDS = 3
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -83,7 +81,7 @@ def fit(row_of: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndar
     odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / (n - y.sum() + 1))
     errors = np.abs(odds) / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
     errors[yes + no < 2] = 0.0
-    used = np.sort(np.argsort(-errors, kind="stable")[:min(FEATURES, int((errors >= sure).sum()))])
+    used = np.nonzero(errors >= sure)[0]
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
     keep = place[feature] >= 0
@@ -197,7 +195,8 @@ class Margins(dict):
 
 def _scored(shared):
     def run(batches):
-        models, cuts = shared.value
+        raw, cuts = shared.value
+        models = [Linear(*m) for m in raw]
         cache = Margins(models)
         for piece in text_batches(batches):
             texts = piece.column("text").to_pylist()
@@ -226,6 +225,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     equal scores; repeated labels count once, the worst one; without labels nothing is
     toxic; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    models, cuts = train(docs, labels, sample)
+    # plain arrays: a broadcast is read before a worker can import this package
+    shared = docs.sparkSession.sparkContext.broadcast(([(m.weights, m.chain, m.bias) for m in models], cuts))
     rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(_scored(shared), "row_key long, doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", is_toxic boolean")

@@ -1,5 +1,7 @@
 import hashlib
 import math
+import re
+import os
 import zlib
 from collections import Counter
 
@@ -269,3 +271,85 @@ def test_repeated_ids_weigh_once_in_the_sample(spark):
     fit = lambda more: toxicity.train(spark.createDataFrame(rows + more, "doc_id long, text string"), labels)
     (once, cuts), (often, same) = fit([]), fit([rows[0]] * 300)
     assert cuts == same and all((a.weights == b.weights).all() and a.bias == b.bias for a, b in zip(once, often, strict=True))
+
+
+def test_scores_of_the_chain_by_plain_sums(spark):
+    """Every probability from its model's weights, word by word; no feature is left out by number."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{rng.integers(0, 60)}" for _ in range(rng.integers(0, 40))) + (" vile Grimm" if i % 3 == 0 else " kind")) for i in range(150)]
+    rows += [(None, "vile"), (900, None), (901, ""), (3, "word " * 100_000 + "vile grimm")]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, row_key string, p_toxic double")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 3 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    models, cuts = toxicity.train(docs, labels)
+    cache = toxicity.Words()
+    got = sorted((str(r.doc_id), round(r.p_low_quality, 9), round(r.p_toxic, 9), r.is_toxic) for r in toxicity.score_toxicity(docs, labels).collect())
+    want = []
+    for doc_id, text in rows:
+        words = {w for w in re.split(rb"[^0-9a-z\x80-\xff]+", (text or "").encode().lower()) if w}
+        earlier = []
+        for m in models:
+            margin = sum(float(m.weights[f]) for w in words for f in cache[w]) + m.bias + sum(a * b for a, b in zip(m.chain, earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-margin)))
+        want.append((str(doc_id), round(earlier[0], 9), round(earlier[1], 9), earlier[1] >= cuts[1]))
+    assert got == sorted(want)
+    assert sum(r[3] for r in got) >= 50
+
+
+def test_every_sure_feature_is_used():
+    """3,000 features that tell the labels apart: all of them get a weight."""
+    n, each = 400, 3000
+    y = np.arange(n) % 2 == 0
+    feature = np.concatenate([np.arange(each) + (0 if v else 10_000) for v in y])
+    model = toxicity.fit(np.repeat(np.arange(n), each), feature, np.zeros((n, 0)), y.astype(float), steps=5)
+    assert (model.weights[:each] != 0).all() and (model.weights[10_000:10_000 + each] != 0).all()
+
+
+def test_shard_sends_only_rows_it_has(spark):
+    """Sums of a shard grow with its events and not with the rows of the pieces it meets."""
+    sizes = []
+    for n in (1, 2, 4):
+        rows = spark.createDataFrame([(i, f"a{i} b{i % 50} c{i % 7}") for i in range(1500 * n)], "doc_id long, text string").coalesce(1)
+        seen = []
+        keep = language_model._shard_scores
+
+        def spy(held, known, total, mass):
+            for piece, data in keep(held, known, total, mass):
+                seen.append(len(data))
+                yield piece, data
+        events = rows.select(F.col("doc_id"), F.col("doc_id").alias("uid"), "text", language_model.held_out(F.col("doc_id")).alias("held_out"))
+        shards = 8 * n
+        empty = (np.zeros(0, np.int64), np.ones(0, np.int64))
+        split = spark.sparkContext.broadcast(empty)
+        held = {}
+        for r in events.mapInArrow(language_model._dealt(shards, split), language_model.EVENTS).collect():
+            if r.shard >= 0:
+                held.setdefault(r.shard, []).append({c: bytes(r[c]) if c not in ("piece",) else r[c] for c in ("piece", "words", "parents", "befores", "pairs", "docs", "times", "info")})
+        for group in held.values():
+            list(spy(group, empty, 1000.0, 1000.0))
+        sizes.append(sum(seen))
+    assert sizes[1] < 2.3 * sizes[0] and sizes[2] < 2.3 * sizes[1]
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    """Columns named as a stage's own come back with their values."""
+    extra = ("_row", "_words", "_times", "_copy", "row_key", "size", "_row_")
+    rows = [(i, f"some words of text number {i} and a few more to tell it apart", "en", "ab"[i % 2], 60, *[f"{c}{i}" for c in extra]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this stands anywhere at all today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {r[0]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r == want[r[0]] for r in got), name
+
+
+def test_pipeline_leaves_its_result_alone(spark, tmp_path):
+    """Tables between the stages are gone when the pipeline is done."""
+    from facetry.runtime import checkpoint_dir
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    new = [n for n in os.listdir(folder) if n not in before]
+    assert len(new) == 1 and os.listdir(f"{folder}/{new[0]}") == ["sharding"]

@@ -1,5 +1,6 @@
 import math
 import re
+import random
 import zlib
 from collections import Counter, defaultdict
 from datetime import date
@@ -148,6 +149,25 @@ def test_decontamination_by_brute_force(spark):
     assert decontaminate.contained(docs.where(F.lit(False)), table).count() == 0
 
 
+def test_candidates_of_the_sketch_are_verified(spark):
+    """Documents of a sketch's shingles alone are candidates and no results; long items need several hits."""
+    rng = random.Random(4)
+    long = [f"w{i}" for i in range(200)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "a b c d e f g h i j k l")], "item_id long, text string")
+    wanted = decontaminate.item_shingles(items, 5, 75)
+    rows = {r.item_id: r for r in wanted.groupBy("item_id").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.count_if("sketched").alias("s")).collect()}
+    assert (rows[1].n, rows[1].need, rows[1].s) == (196, 4, 196 - 147 + 4) and (rows[2].n, rows[2].need, rows[2].s) == (8, 1, 3)
+    texts = [" ".join(long[:100]), " ".join(long[:155]), "a b c d e", "h i j k l", "c d e f g h i j k l x"]
+    for _ in range(40):  # any 147 of the 196 shingles hold enough of the sketch
+        cut = rng.randrange(0, 49)
+        texts.append(" ".join(rng.sample("pqrst", 5) + long[cut:cut + 151]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = wanted.persist()
+    candidates = decontaminate.candidates(docs, wanted, 5, True).count()
+    found = {r.doc_id for r in decontaminate.contained(docs, items).collect()}
+    assert found == {1, 4, *range(5, 45)} and candidates > len(found)
+
+
 def scan(text):
     """The rules by brute force: all places, then suppression by every pair."""
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
