@@ -83,7 +83,7 @@ class _Block:
     def matrix(self, vocabulary: np.ndarray | None) -> np.ndarray:
         n = len(self.sizes)
         if vocabulary is None:
-            return self.weights.reshape(n, -1)
+            return self.weights.reshape(n, -1) if n else np.zeros((0, 0))
         out = np.zeros((n, len(vocabulary)))
         rows = np.repeat(np.arange(n), self.sizes)
         out[rows, np.searchsorted(vocabulary, self.terms)] = self.weights
