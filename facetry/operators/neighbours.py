@@ -5,9 +5,12 @@ Layout (after pivot based kNN joins, Lu et al., VLDB 2012):
 1. identical vectors are joined once and fanned out at the end, so a hot group
    of copies costs one vector;
 2. every vector goes to its nearest pivot (at most 1024 pivots, the only data
-   that reaches the driver) and each cell is cut, by distance to the pivot,
-   into blocks of at most ``BLOCK`` rows, so no cell can outgrow a task;
-3. triangle and hyperplane bounds decide which block pairs can hold a result;
+   that reaches the driver); a cell of more than ``CELL_ROWS`` rows gets pivots
+   of its own, so leaves stay near ``BLOCK`` rows up to half a billion rows.
+   Leaves are cut, by distance to their pivot, into blocks of at most ``BLOCK``
+   rows, so none can outgrow a task;
+3. triangle and hyperplane bounds, at either level, decide which block pairs
+   can hold a result;
 4. block pairs are plain rows of an equi-join; one NumPy product per pair, and
    only reduced results (k best, pairs within the radius, a spanning forest)
    leave the task.
@@ -33,6 +36,12 @@ from facetry.runtime import reliable
 
 BLOCK = 512
 MAX_PIVOTS = 1024
+#: Rows from which on a cell has pivots of its own.
+CELL_ROWS = 64 * BLOCK
+#: Rows of a cell that are dealt to its own pivots at once.
+DEAL_ROWS = 8192
+#: Leaves of a cell are numbered below this.
+LEAVES = 4096
 SLACK = 1e-9
 
 
@@ -147,10 +156,14 @@ class Geometry:
 
 @dataclass
 class Partitioned:
-    """Packed blocks of one side: one row per block, at most BLOCK vectors each."""
+    """Packed blocks of one side: one row per block, at most BLOCK vectors each.
+
+    ``fine`` holds, for each cell that is split, its own pivots and the ranges of its leaves.
+    """
 
     blocks: DataFrame
     geometry: Geometry
+    fine: DataFrame | None = None
 
 
 def _pivots(rows: DataFrame, count: int) -> _Block:
@@ -176,20 +189,56 @@ def _assign(rows: DataFrame, pivots: _Block) -> DataFrame:
     return rows.mapInPandas(nearest, schema)
 
 
+def _split_cells(assigned: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, DataFrame | None]:
+    """Adds ``leaf`` and ``near_gap``, the distance to the leaf's pivot; cells above CELL_ROWS get pivots of their own.
+
+    Returns the rows and (cell, leaf, terms, weights) of the second level's pivots.
+    """
+    plain = lambda df: df.withColumn("leaf", F.col("cell").cast("bigint") * LEAVES).withColumn("near_gap", F.col("gap"))
+    large = {cell: n for cell, n in sizes.items() if n > CELL_ROWS}
+    if not large:
+        return plain(assigned), None
+    spark = assigned.sparkSession
+    plan = spark.createDataFrame([(int(c), min(MAX_PIVOTS, math.ceil(n / BLOCK)), math.ceil(n / DEAL_ROWS)) for c, n in large.items()], "cell int, _wanted int, _deals int")
+    plan = F.broadcast(plan)  # one row a split cell, at most MAX_PIVOTS
+    split = reliable(assigned.join(plan, "cell"))
+    by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(1)), "id")
+    picked = split.select("cell", "id", "terms", "weights", "_wanted", "_deals").withColumn("_r", F.row_number().over(by_hash)).where(
+        F.col("_r") <= MAX_PIVOTS).where(F.col("_r") <= F.col("_wanted"))
+    pivots = reliable(picked.select("cell", (F.col("_r") - 1).cast("int").alias("sub"), "terms", "weights", "_deals"))
+    schema = T.StructType(assigned.schema.fields + [T.StructField("leaf", T.LongType()), T.StructField("near_gap", T.DoubleType())])
+
+    def deal(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("sub")
+        block = _block_of_rows(own.assign(id=own["sub"]))
+        rows = rows.drop(columns=["_deal", "_wanted", "_deals"]).reset_index(drop=True)
+        leaf, gap = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for at in range(0, len(rows), BLOCK):
+            x, y = _matrices(_block_of_rows(rows.iloc[at:at + BLOCK]), block)
+            d = _distances(x, y)
+            leaf[at:at + BLOCK], gap[at:at + BLOCK] = d.argmin(1), d.min(1)
+        return rows.assign(leaf=rows["cell"].astype("int64") * LEAVES + leaf, near_gap=gap)[schema.names]
+
+    dealt = split.withColumn("_deal", F.pmod(F.xxhash64("id", F.lit(2)), F.col("_deals")))
+    for_each = pivots.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_deals").cast("bigint") - 1))).drop("_deals")
+    fine = dealt.groupBy("cell", "_deal").cogroup(for_each.groupBy("cell", "_deal")).applyInPandas(deal, schema)
+    rest = assigned.join(plan, "cell", "left_anti")
+    return plain(rest).select(schema.names).unionByName(fine), pivots.select("cell", "sub", "terms", "weights")
+
+
 def _pack(assigned: DataFrame, within: bool) -> DataFrame:
-    """Cut cells into blocks of at most BLOCK rows, nearest to the pivot first."""
-    group = ["grp", "cell"] if within else ["cell"]
-    placed = with_position(assigned, *[F.col(c) for c in group], F.col("gap"), F.col("id"), name="_pos")
+    """Cut leaves into blocks of at most BLOCK rows, nearest to the pivot first."""
+    group = ["grp", "leaf"] if within else ["leaf"]
+    placed = with_position(assigned, *[F.col(c) for c in group], F.col("near_gap"), F.col("id"), name="_pos")
     starts = placed.groupBy(*group).agg(F.min("_pos").alias("_start"))
     ring = F.floor((F.col("_pos") - F.col("_start")) / BLOCK)
     cut = placed.join(starts, group).withColumn("ring", ring)
-    row = F.struct("_pos", "id", "terms", "weights", "tags", "gap")
-    packed = cut.groupBy(*group, "ring").agg(F.array_sort(F.collect_list(F.struct(
+    row = F.struct("_pos", "id", "terms", "weights", "tags", "gap", "near_gap")
+    packed = cut.groupBy(*group, "ring").agg(F.first("cell").alias("cell"), F.array_sort(F.collect_list(F.struct(
         F.col("_pos").alias("p"), row.alias("r")))).alias("_rows"))
     field = lambda name: F.transform("_rows", lambda e: e["r"][name])
     return packed.select(
-        *group, "ring",
-        F.xxhash64(*group, "ring").alias("block_hash"),
+        *group, "cell", "ring",
         F.element_at("_rows", 1)["p"].alias("block"),
         field("id").alias("ids"),
         F.flatten(F.transform("_rows", lambda e: F.coalesce(e["r"]["terms"], F.array().cast("array<bigint>")))).alias("terms"),
@@ -197,18 +246,31 @@ def _pack(assigned: DataFrame, within: bool) -> DataFrame:
         F.transform("_rows", lambda e: F.size(e["r"]["weights"])).alias("sizes"),
         field("tags").alias("tags"),
         field("gap").alias("gaps"),
-        F.element_at("_rows", 1)["r"]["gap"].alias("near"),
-        F.element_at("_rows", -1)["r"]["gap"].alias("far"),
-    ).drop("block_hash")
+        F.element_at("_rows", 1)["r"]["near_gap"].alias("near"),
+        F.element_at("_rows", -1)["r"]["near_gap"].alias("far"),
+    )
 
 
 def _partition(rows: DataFrame, pivots: _Block, within: bool) -> Partitioned:
-    blocks = reliable(_pack(_assign(rows, pivots), within))
-    stats = blocks.groupBy("cell").agg(
-        F.min("near").alias("near"), F.max("far").alias("far"), F.sum(F.size("ids")).alias("rows"))
+    assigned = reliable(_assign(rows, pivots))
+    stats = assigned.groupBy("cell").agg(F.min("gap").alias("near"), F.max("gap").alias("far"), F.count(F.lit(1)).alias("rows"))
     cells = {r["cell"]: (r["near"], r["far"], r["rows"]) for r in stats.collect()}
+    leaves, own = _split_cells(assigned, {c: n for c, (_, _, n) in cells.items()})
+    blocks = reliable(_pack(leaves, within))
     x, y = _matrices(pivots, pivots)
-    return Partitioned(blocks, Geometry(pivots, _distances(x, y), cells))
+    fine = None
+    if own is not None:
+        ranges = blocks.groupBy("cell", "leaf").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+        each = own.withColumn("leaf", F.col("cell").cast("bigint") * LEAVES + F.col("sub")).join(ranges, ["cell", "leaf"], "left")
+        entry = F.struct("sub", "terms", "weights", "near", "far")
+        # at most MAX_PIVOTS entries a cell
+        packed = each.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("sub", entry.alias("e")))).alias("_p"))
+        part = lambda name: F.transform("_p", lambda e: e["e"][name])
+        fine = reliable(packed.select(
+            "cell", F.flatten(F.transform("_p", lambda e: F.coalesce(e["e"]["terms"], F.array().cast("array<bigint>")))).alias("p_terms"),
+            F.flatten(part("weights")).alias("p_weights"), F.transform("_p", lambda e: F.size(e["e"]["weights"])).alias("p_sizes"),
+            part("near").alias("p_near"), part("far").alias("p_far")))
+    return Partitioned(blocks, Geometry(pivots, _distances(x, y), cells), fine)
 
 
 def _unpack(row) -> _Block:
@@ -264,12 +326,64 @@ def _tasks(queries: DataFrame, side: Partitioned, reach_of: Callable, within: bo
 
     found = queries.mapInPandas(
         candidates, "q_block bigint, grp string, cell int, low double, high double, reach array<double>")
-    rings = side.blocks.select(*(["grp"] if within else []), "cell", F.col("block").alias("s_block"), "near", "far")
-    keys = ["grp", "cell"] if within else ["cell"]
+    found = _leaf_tasks(found, queries, side)
+    rings = side.blocks.select(*(["grp"] if within else []), "leaf", F.col("block").alias("s_block"), "near", "far")
+    keys = ["grp", "leaf"] if within else ["leaf"]
     return (found if within else found.drop("grp")).join(rings, keys).where(
         (F.col("far") >= F.col("low")) & (F.col("near") <= F.col("high"))).select("q_block", "s_block", "reach")
 
 
+def _leaf_tasks(found: DataFrame, queries: DataFrame, side: Partitioned) -> DataFrame:
+    """Candidate cells to candidate leaves: (q_block, grp, leaf, low, high, reach); split cells are bounded by their own pivots."""
+    plain = found.withColumn("leaf", F.col("cell").cast("bigint") * LEAVES).select("q_block", "grp", "leaf", "low", "high", "reach")
+    if side.fine is None:
+        return plain
+    found = reliable(found)
+    names = side.fine.select("cell")
+    q = queries.select(F.col("block").alias("q_block"), "ids", "terms", "weights", "sizes", "tags")
+    rows = found.join(side.fine, "cell").join(q, "q_block")
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                block = _unpack(row)
+                pivots = _block(np.arange(len(row.p_sizes)), row.p_terms, row.p_weights, row.p_sizes, None)
+                x, p = _matrices(block, pivots)
+                d = _distances(x, p)
+                y, z = _matrices(pivots, pivots)
+                apart = _distances(y, z)
+                reach = np.asarray(row.reach, float)
+                own = d.argmin(1)
+                gaps = d.min(1)
+                for sub, (near, far) in enumerate(zip(row.p_near, row.p_far, strict=True)):
+                    if near is None or near != near:
+                        continue  # a pivot without rows
+                    ok = (d[:, sub] - reach <= far + SLACK) & (d[:, sub] + reach >= near - SLACK)
+                    split = apart[own, sub]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        # a site of this leaf is nearer to its pivot than to the one next to me
+                        plane = np.where(split > 0, (d[:, sub] ** 2 - gaps * gaps) / (2 * split), 0.0)
+                    ok &= plane <= reach + SLACK
+                    if ok.any():
+                        out.append((row.q_block, row.grp, int(row.cell) * LEAVES + sub, float((d[ok, sub] - reach[ok]).min() - SLACK), float((d[ok, sub] + reach[ok]).max() + SLACK), reach))
+            yield pd.DataFrame(out, columns=["q_block", "grp", "leaf", "low", "high", "reach"])
+
+    fine = rows.mapInPandas(narrow, "q_block bigint, grp string, leaf bigint, low double, high double, reach array<double>")
+    whole = found.join(names, "cell", "left_anti").withColumn("leaf", F.col("cell").cast("bigint") * LEAVES).select("q_block", "grp", "leaf", "low", "high", "reach")
+    return whole.unionByName(fine)
+
+
+def partition_report(rows: DataFrame, k: int) -> DataFrame:
+    """How a k nearest neighbours join is cut: rows, leaves, largest leaf, blocks and the block pairs that are compared, in one row."""
+    rows = reliable(rows)
+    side = _partition(rows, _pivots(rows, rows.count()), within=False)
+    leaves = side.blocks.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n"), F.count(F.lit(1)).alias("b"))
+    cut = leaves.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("leaves"), F.max("n").alias("largest_leaf"), F.sum("b").alias("blocks"))
+    tasks = _tasks(side.blocks, side, _in_block_reach(k, True, True, side.geometry), within=False)
+    return cut.crossJoin(tasks.agg(F.count(F.lit(1)).alias("block_pairs")))  # one row each
+
+
 def _run_pairs(tasks: DataFrame, queries: DataFrame, sites: DataFrame, schema: str | T.StructType,
                reduce: Callable) -> DataFrame:
     """Equi-join block pairs with both packed sides and reduce each pair in NumPy."""
