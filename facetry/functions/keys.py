@@ -129,3 +129,10 @@ def resolve_to_schema_key(
         entity_col, "kind", key_col,
         F.when(F.col("_n") > 1, F.least(F.lit(1.0), F.col("_max"))).otherwise(F.col("_max"))
         .alias(score_col))
+
+
+def outside_catalogue(resolved: DataFrame, catalog: DataFrame, key_col: str = "feature") -> DataFrame:
+    """Keys that ``resolve_to_schema_key`` leaves outside the catalogue: (kind, key, entities, best), counted once an entity."""
+    known = catalog.select("kind", F.col("feature").alias(key_col)).distinct()
+    return resolved.join(known, ["kind", key_col], "left_anti").groupBy("kind", key_col).agg(
+        F.count(F.lit(1)).alias("entities"), F.max("score").alias("best"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Scores that mark machine-filled data.
 FILLER_SCORE = 0.44
@@ -26,6 +27,17 @@ def variant_number(value: Column, allow_bool: bool = True) -> Column:
     return F.when(kind.rlike(pattern), F.try_variant_get(value, "$", "double"))
 
 
+def raw_variant(df: DataFrame, name: str) -> Column:
+    """A raw score with its JSON type: a variant as it is, JSON text parsed (``0.5`` is a number, ``"0.5"`` is text), a number as itself."""
+    kind = df.schema[name].dataType
+    value = F.col(name)
+    if isinstance(kind, T.VariantType):
+        return value
+    if isinstance(kind, T.StringType):
+        return F.try_parse_json(value)
+    return F.try_parse_json(value.cast("string"))
+
+
 def positive_numeric(value: Column, allow_bool: bool = True) -> Column:
     return F.coalesce(variant_number(value, allow_bool) > 0, F.lit(False))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from facetry.functions import color as C
 from facetry.functions.geo import chord, haversine_km, unit_xyz
 from facetry.operators import neighbours as nb
+from facetry.operators.ordering import with_position
 
 
 def world_grid(spark: SparkSession, rows: int = 180, equal_area: bool = True) -> DataFrame:
@@ -200,6 +201,18 @@ def supergroup_panel(entities: DataFrame, order: list[str], supergroup_col: str
     return entities.withColumn("panel", known).orderBy("panel", supergroup_col, hue_col, "entity_id")
 
 
+def supergroup_members(entities: DataFrame, order: list[str], supergroup_col: str = "supergroup", hue_col: str = "hue") -> DataFrame:
+    """Each super-group's members in hue order with their rank in it and its size: (panel, supergroup, rank, entity_id, members).
+
+    Ranks come from one range sort, so a super-group that holds most rows is no single task.
+    """
+    rows = supergroup_panel(entities, order, supergroup_col, hue_col).select("panel", F.col(supergroup_col).alias("supergroup"), F.col(hue_col).alias("hue"), "entity_id")
+    placed = with_position(rows, F.col("panel"), F.col("supergroup"), F.col("hue"), F.col("entity_id"), name="_pos")
+    starts = placed.groupBy(F.col("supergroup").alias("_group")).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("members"))
+    return placed.join(starts, F.col("supergroup").eqNullSafe(F.col("_group"))).select(
+        "panel", "supergroup", (F.col("_pos") - F.col("_first") + 1).alias("rank"), "entity_id", "members")
+
+
 def axis_coverage(rows: DataFrame, limit: float = 1.0) -> DataFrame:
     """Range, mean, deviation and clipped share per axis of long (axis, x) rows."""
     return rows.groupBy("axis").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),

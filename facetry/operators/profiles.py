@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.functions.scores import is_filler_tol
+from facetry.functions.scores import is_filler_tol, raw_variant, variant_number
 from facetry.operators.ordering import top_k_per_group, with_position
 from facetry.runtime import scalar
 
@@ -92,35 +92,58 @@ def column_moments(vectors: DataFrame, vector_col: str = "vector") -> DataFrame:
         F.avg("x").alias("mu"), F.greatest(F.stddev_pop("x"), F.lit(1e-8)).alias("sigma"))
 
 
-def clean_profile(rows: DataFrame, whitelist: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+def split_scores(rows: DataFrame, whitelist: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     """Every raw score with the reason it is removed for, null when it is kept.
 
-    ``rows`` hold ``raw_score`` as text; the reasons are tested in the order
-    non_positive, filler, not_in_master.
+    ``raw_score`` is a variant or JSON text, so text such as "0.5" is no number while true
+    counts as 1.  ``raw_key`` keeps the key as it was written.  The reasons are tested in the
+    order non_positive, filler, not_in_master.
     """
     from facetry.functions.keys import with_alias
 
+    rows = rows.withColumn("raw_key", F.col("feature"))
     named = with_alias(rows, alias) if alias is not None else rows
     master = whitelist.select("kind", "feature").distinct().withColumn("_known", F.lit(True))
-    number = F.col("raw_score").try_cast("double")
+    number = variant_number(raw_variant(rows, "raw_score"))
     reason = (
         F.when(number.isNull() | F.isnan(number) | (number <= 0), "non_positive")
-        .when(is_filler_tol(F.col("raw_score")), "filler")
+        .when(is_filler_tol(number), "filler")
         .when(F.col("_known").isNull(), "not_in_master")
     )
     return named.join(master, ["kind", "feature"], "left").select(
         *named.columns, number.alias("score"), reason.alias("reason"))
 
 
-def clean_report(split: DataFrame, file_col: str = "file") -> DataFrame:
-    """Per file: entities, removed scores, entities left with nothing."""
+def clean_profile(rows: DataFrame, whitelist: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+    """The profile that is left: one row per entity and canonical key, with the greatest of its kept scores."""
+    return merge_max(split_scores(rows, whitelist, alias).where(F.col("reason").isNull()))
+
+
+def clean_report(split: DataFrame, file_col: str = "file", kind: str = "ing") -> DataFrame:
+    """Per file: entities, removed scores, entities left without any feature of ``kind``."""
     per_entity = split.groupBy(file_col, "entity_id").agg(
-        F.count("reason").alias("_removed"), F.count_if(F.col("reason").isNull()).alias("_kept"))
+        F.count("reason").alias("_removed"), F.count_if(F.col("reason").isNull() & (F.col("kind") == kind)).alias("_kept"))
     return per_entity.groupBy(file_col).agg(
         F.count(F.lit(1)).alias("entities"), F.sum("_removed").alias("removed"),
         F.count_if(F.col("_kept") == 0).alias("empty_entities"))
 
 
+def clean_details(split: DataFrame, entities: DataFrame, file_col: str = "file") -> DataFrame:
+    """Per entity: file, name, kept features of either kind, whether none of its ingredients is left, and its removed keys with reasons.
+
+    A kept key counts once however many raw keys meet in it.  The list is bounded by the raw keys of one entity.
+    """
+    gone = F.when(F.col("reason").isNotNull(), F.struct("kind", "raw_key", "reason"))
+    kept = lambda kind: F.count_distinct(F.when(F.col("reason").isNull() & (F.col("kind") == kind), F.col("feature")))
+    per_entity = split.groupBy("entity_id").agg(
+        kept("ing").alias("kept_ingredients"), kept("met").alias("kept_methods"), F.array_sort(F.collect_list(gone)).alias("removed"))
+    zero = F.lit(0).cast("bigint")
+    rows = entities.select("entity_id", "name", file_col).join(per_entity, "entity_id", "left")
+    return rows.select(file_col, "entity_id", "name", F.coalesce("kept_ingredients", zero).alias("kept_ingredients"), F.coalesce("kept_methods", zero).alias("kept_methods"),
+                       (F.coalesce("kept_ingredients", zero) == 0).alias("emptied"),
+                       F.coalesce("removed", F.array().cast("array<struct<kind:string,raw_key:string,reason:string>>")).alias("removed"))
+
+
 def clean_totals(report: DataFrame) -> DataFrame:
     return report.agg(F.count(F.lit(1)).alias("files"), F.sum("entities").alias("entities"),
                       F.sum("removed").alias("removed"), F.sum("empty_entities").alias("empty_entities"))
@@ -160,6 +183,16 @@ def group_profile_topk(profile: DataFrame, members: DataFrame, group_col: str, k
     return top_k_per_group(means, [group_col, "kind"], k, F.desc("avg_score"), F.col("feature")).drop("_sum")
 
 
+def group_context(profile: DataFrame, members: DataFrame, group_col: str, k: int = 10, shown: int = 50) -> DataFrame:
+    """``group_profile_topk`` of each group beside its members' names: the first ``shown`` by name, and how many there are."""
+    tops = group_profile_topk(profile, members, group_col, k).groupBy(group_col).agg(
+        F.array_sort(F.collect_list(F.struct("kind", "rank", "feature", "avg_score"))).alias("features"))  # 2 k entries a group at most
+    names = top_k_per_group(members.select(group_col, "name", "entity_id"), [group_col], shown, F.col("name"), F.col("entity_id"))
+    listed = names.groupBy(group_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]).alias("names"))
+    sizes = members.groupBy(group_col).agg(F.count(F.lit(1)).alias("members"))
+    return sizes.join(listed, group_col).join(tops, group_col, "left")
+
+
 def cluster_lift(profile: DataFrame, members: DataFrame, label_col: str, kind: str = "ing", k: int = 3) -> DataFrame:
     """Features whose mean in a cluster exceeds the global mean most (absent = 0 in both)."""
     sizes = members.groupBy(label_col).agg(F.count(F.lit(1)).alias("_members"))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.color import hue_diff
-from facetry.functions.scores import FILLER_SET, is_filler_set
-from facetry.runtime import scalar
+from facetry.functions.scores import FILLER_SET, is_filler_set, raw_variant, variant_number
+from facetry.runtime import reliable, scalar
 
 COLUMNS = ["entity_id", "group", "rule", "severity", "detail"]
 
@@ -58,13 +58,13 @@ def key_rules(profile: DataFrame, whitelist: DataFrame, generic: Mapping[str, Se
 
 
 def score_rules(scores: DataFrame, fillers: Iterable[float] = FILLER_SET) -> DataFrame:
-    """Score is not a number, a filler value or outside [0, 1]; ``raw_score`` is text."""
-    number = F.col("raw_score").try_cast("double")
+    """Score is not a number, a filler value or outside [0, 1]; ``raw_score`` is a variant or JSON text, so text such as "0.5" is no number."""
+    number = variant_number(raw_variant(scores, "raw_score"))
     rule = (F.when(number.isNull() | F.isnan(number), "not_a_number").when(is_filler_set(number, fillers), "filler_value")
             .when(~number.between(0, 1), "score_range"))
     return scores.withColumn("rule", rule).where(F.col("rule").isNotNull()).select(
         "entity_id", F.col("group").cast("string").alias("group"), "rule", F.lit("error").alias("severity"),
-        F.concat_ws("=", "feature", "raw_score").alias("detail"))
+        F.concat_ws("=", "feature", F.col("raw_score").cast("string")).alias("detail"))
 
 
 def coverage_rules(profile: DataFrame, entities: DataFrame, kind: str = "ing", min_total: int = 8,
@@ -266,6 +266,19 @@ def mapping_impact(before: DataFrame, after: DataFrame, support: int = 5) -> Dat
     return stats(before, "before").unionByName(stats(after, "after"))
 
 
+def mapping_quality(before: DataFrame, after: DataFrame, k: int = 8, restarts: int = 10, support: int = 1) -> DataFrame:
+    """Clusters of the profiles before and after an alias change: features, entities, clusters and their silhouette per variant."""
+    from facetry.operators import cluster, embed, profiles
+
+    def of(profile: DataFrame, name: str) -> DataFrame:
+        weighed = reliable(profiles.idf_weight(profiles.l1_normalize(profiles.merge_max(profile))))
+        labelled = reliable(cluster.kmeans(reliable(embed.dense_profile(weighed, support)), k, restarts=restarts))
+        counts = labelled.agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("label").alias("clusters"))
+        features = scalar(weighed.select("kind", "feature").distinct(), F.count(F.lit(1)))
+        return counts.select(F.lit(name).alias("variant"), features.alias("features"), "entities", "clusters").crossJoin(cluster.silhouette(labelled))  # one row each
+    return of(before, "before").unionByName(of(after, "after"))
+
+
 def rule_scoreboard(results: DataFrame) -> DataFrame:
     """Totals of (family, status) rows."""
     return results.groupBy("family").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pass", "fail", "skip")])

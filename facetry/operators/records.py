@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.keys import entity_key, trim_all
-from facetry.operators.ordering import top_k_per_group
+from facetry.operators.ordering import top_k_per_group, with_position
 from facetry.runtime import scalar
 
 
@@ -35,9 +35,13 @@ def dedupe_heaviest(entities: DataFrame, seq_col: str, name_col: str = "name", w
     return top_k_per_group(entities, [name_col], 1, heavy.desc(), F.col(seq_col)).drop("rank")
 
 
-def sparsest_per_group(counts: DataFrame, supergroup_col: str, k: int = 5, below: int | None = 8) -> DataFrame:
-    """Entities with the fewest features of each super-group (only those under ``below``)."""
+def sparsest_per_group(counts: DataFrame, supergroup_col: str, k: int = 5, below: int | None = 8, gaps: DataFrame | None = None) -> DataFrame:
+    """Entities with the fewest features of each super-group (only those under ``below``).
+
+    ``gaps`` (entity_id) are entities that fail the dimension test; they are reported there and take no part here.
+    """
     thin = counts if below is None else counts.where(F.col("n_features") < below)
+    thin = thin if gaps is None else thin.join(gaps.select("entity_id").distinct(), "entity_id", "left_anti")
     return top_k_per_group(thin, [supergroup_col], k, F.col("n_features"), F.col("name"), F.col("entity_id"))
 
 
@@ -110,14 +114,19 @@ def with_place_group(entities: DataFrame, group_col: str = "group") -> DataFrame
     return entities.withColumn(group_col, F.coalesce(F.col(group_col).cast("string"), F.lit("UNKNOWN")))
 
 
-def nested_groups(entities: DataFrame, country: str, city: str, place: str) -> DataFrame:
-    """country -> city -> places, kept as one row per (country, city) with its place rows counted.
+def nested_groups(entities: DataFrame, country: str, city: str, place: str, part: int = 1000) -> DataFrame:
+    """country -> city -> places: (country, city, part, places, n_places), places in order.
 
-    The nested document is a sink layout: rows are clustered by country and
-    ordered by city so that a writer streams it, instead of one array per country.
+    A city of more than ``part`` places has several rows with ``part`` of them each, so no
+    list outgrows a row; ``n_places`` counts all of the city's.  Rows come clustered by
+    country and in order, so a writer can stream the nested document.
     """
-    return entities.select(country, city, place).repartitionByRange(F.col(country), F.col(city), F.col(place)) \
-        .sortWithinPartitions(country, city, place)
+    placed = with_position(entities.select(country, city, place), F.col(country), F.col(city), F.col(place), name="_pos")
+    starts = placed.groupBy(F.col(country).alias("_country"), F.col(city).alias("_city")).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("n_places"))
+    same = [F.col(country).eqNullSafe(F.col("_country")), F.col(city).eqNullSafe(F.col("_city"))]
+    rows = placed.join(starts, same).select(country, city, F.floor((F.col("_pos") - F.col("_first")) / part).alias("part"), "_pos", place, "n_places")
+    lists = rows.groupBy(country, city, "part", "n_places").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", place))), lambda s: s[place]).alias("places"))
+    return lists.select(country, city, "part", "places", "n_places").repartitionByRange(F.col(country), F.col(city), F.col("part")).sortWithinPartitions(country, city, "part")
 
 
 def members_of_group(entities: DataFrame, group_col: str, group: str, name_col: str = "name") -> DataFrame:

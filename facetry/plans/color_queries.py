@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from facetry.functions import color as C
 from facetry.functions import geo as G
 from facetry.functions import vectors as V
-from facetry.operators import calibrate, cluster, embed, grid, ordering, profiles
+from facetry.operators import calibrate, cluster, cover, embed, grid, ordering, profiles
 from facetry.operators import neighbours as nb
 from facetry.plans import bindings as B
 from facetry.plans import insights
@@ -31,6 +31,23 @@ def axis_quantiles(spark, sf):
     return tidy(ordering.axis_quantiles(_axes(spark, sf), "axis", "x", [0.02, 0.25, 0.5, 0.75, 0.98]))
 
 
+_SKETCHED = [0.02, 0.25, 0.5, 0.75, 0.98]
+
+
+@query("price_sketches", """SELECT l_suppkey AS axis, p, true AS within, n FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), (SELECT unnest([0.02, 0.25, 0.5, 0.75, 0.98]::DOUBLE[]) AS p)""")
+def price_sketches(spark, sf):
+    """Price quantiles of every supplier from sketches of two halves that were merged; all within twice the stated rank error."""
+    from facetry.operators import sketch
+
+    li = B.table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice")
+    halves = [sketch.axis_sketches(li.where(F.col("l_linenumber") <= 3), "l_suppkey", "l_extendedprice", 400), sketch.axis_sketches(li.where(F.col("l_linenumber") > 3), "l_suppkey", "l_extendedprice", 400)]
+    merged = reliable(sketch.merged_sketches(halves[0].unionByName(halves[1]), "l_suppkey"))
+    found = reliable(sketch.sketch_quantiles(merged, "l_suppkey", _SKETCHED))
+    errors = sketch.rank_errors(li, "l_suppkey", "l_extendedprice", found)
+    return tidy(errors.join(merged.select("l_suppkey", "n"), "l_suppkey").select(
+        F.col("l_suppkey").alias("axis"), "p", (F.col("error") <= 2 * sketch.rank_error(400)).alias("within"), "n"))
+
+
 @query("price_quantiles", """SELECT l_returnflag AS axis, 0.98::DOUBLE AS p, round(quantile_cont(l_extendedprice, 0.98), 6) AS value FROM lineitem GROUP BY 1
 UNION ALL SELECT l_returnflag, 0.5, round(quantile_cont(l_extendedprice, 0.5), 6) FROM lineitem GROUP BY 1""")
 def price_quantiles(spark, sf):
@@ -196,6 +213,14 @@ def supergroup_panel(spark, sf):
     return tidy(grid.supergroup_panel(rows, ["7", "3", "1"]).select("entity_id", F.col("supergroup").cast("bigint").alias("supergroup"), "panel", "hue"))
 
 
+@query("supergroup_members", f"""WITH {SPHERE}, p AS (SELECT *, coalesce(list_position(['7', '3', '1'], supergroup::VARCHAR), 4) - 1 AS panel FROM geo3)
+SELECT panel, supergroup, row_number() OVER (PARTITION BY supergroup ORDER BY az, entity_id) AS rank, entity_id, count(*) OVER (PARTITION BY supergroup) AS members FROM p""")
+def supergroup_members(spark, sf):
+    rows = _sphere(spark, sf).withColumn("supergroup", F.col("supergroup").cast("string"))
+    rows = rows.withColumn("hue", calibrate.azimuth(F.col("color_xyz")))
+    return tidy(grid.supergroup_members(rows, ["7", "3", "1"]).withColumn("supergroup", F.col("supergroup").cast("bigint")))
+
+
 @query("extent", f"WITH {B.EM} SELECT round(min(vector[1]) - (max(vector[1]) - min(vector[1])) * 0.06, 6) AS u_min, round(max(vector[1]) + (max(vector[1]) - min(vector[1])) * 0.06, 6) AS u_max, round(min(vector[2]) - (max(vector[2]) - min(vector[2])) * 0.06, 6) AS v_min, round(max(vector[2]) + (max(vector[2]) - min(vector[2])) * 0.06, 6) AS v_max FROM em")
 def extent(spark, sf):
     e = B.embeddings(spark, sf).select(F.col("vector")[0].alias("u"), F.col("vector")[1].alias("v"))
@@ -272,6 +297,12 @@ def kmeans_families(spark, sf):
     return tidy(insights.families(reliable(normed), profile, cal))
 
 
+@query("family_listing")
+def family_listing(spark, sf):
+    """Customer families, largest first, beside the labels of the four largest."""
+    return tidy(insights.family_listing(reliable(kmeans_families(spark, sf))))
+
+
 @query("cluster_summary", f"""WITH {SPHERE} SELECT supergroup AS label, count(*) AS members, string_agg(DISTINCT "group"::VARCHAR, ',' ORDER BY "group"::VARCHAR) AS groups, round(avg(x) + 0, 6) AS x, round(avg(y) + 0, 6) AS y, round(avg(z) + 0, 6) AS z, round(avg(abs(vector[4])), 6) AS w_abs FROM geo3 GROUP BY 1""")
 def cluster_summary(spark, sf):
     rows = _sphere(spark, sf).withColumn("label", F.col("supergroup")).withColumn("w_abs", F.abs(F.col("vector")[3]))
@@ -503,11 +534,29 @@ def point_in_polygon(spark, sf):
     return tidy(grid.point_in_polygon(B.customers(spark, sf).withColumnRenamed("entity_id", "cell"), _edges(spark, sf)))
 
 
-@query("land_cells")
+_TURNS = "(SELECT unnest([-360.0, 0.0, 360.0]::DOUBLE[]) AS turn)"
+_SLAB = "CASE WHEN {d} = 0 THEN CASE WHEN {p} BETWEEN {low} AND {high} THEN {flat} ELSE {out} END ELSE {pick}(({low} - {p}) / nullif({d}, 0), ({high} - {p}) / nullif({d}, 0)) END"
+_LAND = f"""WITH {B.CM}, {_POLY}, h AS (SELECT entity_id AS cell, poly_id FROM cm, {_TURNS}, edges WHERE (y1 > lat) <> (y2 > lat) AND lon + turn < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2, turn HAVING count(*) % 2 = 1),
+b AS (SELECT entity_id AS cell, lon + turn - 1 AS w, lon + turn + 1 AS e, lat - 1 AS s, lat + 1 AS n FROM cm, {_TURNS}),
+t AS (SELECT cell, {_SLAB.format(d='(x2 - x1)', p='x1', low='w', high='e', flat='0.0', out='2.0', pick='least')} AS x0, {_SLAB.format(d='(x2 - x1)', p='x1', low='w', high='e', flat='1.0', out='-1.0', pick='greatest')} AS x9,
+  {_SLAB.format(d='(y2 - y1)', p='y1', low='s', high='n', flat='0.0', out='2.0', pick='least')} AS y0, {_SLAB.format(d='(y2 - y1)', p='y1', low='s', high='n', flat='1.0', out='-1.0', pick='greatest')} AS y9 FROM b, edges)
+SELECT DISTINCT cell FROM (SELECT cell FROM h UNION ALL SELECT cell FROM t WHERE greatest(x0, y0, 0.0) <= least(x9, y9, 1.0))"""
+
+
+@query("land_cells", _LAND)
 def land_cells(spark, sf):
-    """Customer boxes of two degrees that a nation's triangle contains or touches."""
+    """Customer boxes of two degrees that a nation's triangle contains or touches, also over the antimeridian."""
     cells = B.customers(spark, sf).withColumnRenamed("entity_id", "cell").withColumn("height", F.lit(2.0)).withColumn("width", F.lit(2.0))
-    return grid.land_cells(cells, _edges(spark, sf)).select("cell")
+    return cover.land_cells(cells, _edges(spark, sf), 2.0).select("cell")
+
+
+@query("point_in_cover", f"""WITH {B.CM}, {_POLY}, h AS (SELECT entity_id AS cell, poly_id, turn, count(*) AS n FROM cm, {_TURNS}, edges
+  WHERE (y1 > lat) <> (y2 > lat) AND lon + turn < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2, 3)
+SELECT DISTINCT cell, poly_id::BIGINT AS poly_id FROM h WHERE n % 2 = 1""")
+def point_in_cover(spark, sf):
+    """Customers inside the nations' triangles, by inner and border cells."""
+    points = B.customers(spark, sf).withColumnRenamed("entity_id", "cell")
+    return tidy(cover.points_in_cover(points, cover.polygon_cover(_edges(spark, sf), 2.0), 2.0))
 
 
 @query("heat_points", f"WITH {B.CM} SELECT entity_id, round(lon, 6) AS x, 15.0::DOUBLE AS radius, 25.0::DOUBLE AS blur, round(weight, 6) AS intensity FROM cm")

@@ -49,9 +49,11 @@ def families(entities: DataFrame, profile: DataFrame, calibration: DataFrame, k:
         F.concat_ws(", ", "supergroups").alias("supergroups"), "color").orderBy(F.desc("members"), "label")
 
 
-def family_listing(fams: DataFrame) -> DataFrame:
-    """Families, largest first, with their super-groups as text."""
-    return fams.orderBy(F.desc("members"), "label").select("label", "family", "members", "supergroups")
+def family_listing(fams: DataFrame, tags: int = 4) -> DataFrame:
+    """Families, largest first, with their super-groups as text and the labels of the ``tags`` largest of all as one text."""
+    top = fams.orderBy(F.desc("members"), "label").limit(tags)
+    text = top.agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("members")).alias("n"), "label", "family"))), lambda s: s["family"])).alias("_t")).scalar()
+    return fams.withColumn("largest", text).orderBy(F.desc("members"), "label").select("label", "family", "members", "supergroups", "largest")
 
 
 def foreign_neighbours(rows: DataFrame, k: int = 7) -> DataFrame:
@@ -67,3 +69,12 @@ def entity_panel(profile: DataFrame, near: DataFrame, n_ing: int = 8, n_met: int
     tops = top_k_per_group(profile, ["entity_id", "kind"], max(n_ing, n_met), F.desc("score"), F.col("feature"))
     return {"top_features": tops.where(F.col("rank") <= limit), "neighbours": near,
             "distinctive": profiles.neighbour_contrast(profile, near)}
+
+
+def panel_rows(panel: dict[str, DataFrame]) -> DataFrame:
+    """The three parts of ``entity_panel`` in one table: (part, entity_id, kind, item, value, rank)."""
+    none = F.lit(None).cast("string")
+    tops = panel["top_features"].select(F.lit("top_features").alias("part"), "entity_id", "kind", F.col("feature").alias("item"), F.col("score").alias("value"), "rank")
+    near = panel["neighbours"].select(F.lit("neighbours").alias("part"), "entity_id", none.alias("kind"), F.col("neighbour_id").cast("string").alias("item"), F.col("distance").alias("value"), "rank")
+    own = panel["distinctive"].select(F.lit("distinctive").alias("part"), "entity_id", none.alias("kind"), F.col("feature").alias("item"), F.col("excess").alias("value"), "rank")
+    return tops.unionByName(near).unionByName(own)

@@ -187,7 +187,7 @@ _SPLIT = f"""WITH {B.PF}, {_WHITE}, split AS (SELECT entity_id, pf.kind, pf.feat
 
 def _split(spark, sf):
     rows = B.customer_profile(spark, sf).withColumn("raw_score", F.col("score").cast("string")).drop("score")
-    return profiles.clean_profile(rows, whitelist(spark, sf))
+    return profiles.split_scores(rows, whitelist(spark, sf))
 
 
 @query("filler_split", _SPLIT + "SELECT entity_id, kind, feature, round(score, 6) AS score, coalesce(reason, 'kept') AS reason FROM split")
@@ -211,6 +211,32 @@ def clean_report(spark, sf):
     return tidy(_report(spark, sf))
 
 
+@query("clean_typed", """WITH r AS (SELECT user_id AS entity_id, event_type, event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 1.0::DOUBLE ELSE value / 20 END AS score FROM events)
+SELECT entity_id, 'ing' AS kind, event_type AS feature, round(max(score), 6) AS score FROM r
+WHERE score > 0 AND abs(score - 0.44) > 0.0005 AND event_id % 3 < 2 AND event_type <> 'view' GROUP BY 1, 2, 3""")
+def clean_typed(spark, sf):
+    """Typed raw scores: text is no number, true counts as 1, keys that meet in one keep the greatest."""
+    e = B.table(spark, sf, "events")
+    plain = (F.col("value") / 20).cast("string")
+    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"'), plain, F.lit('"'))).when(F.col("event_id") % 4 == 1, "true").otherwise(plain)
+    rows = e.select(F.col("user_id").alias("entity_id"), F.lit("ing").alias("kind"), F.concat_ws("_", "event_type", (F.col("event_id") % 3).cast("string")).alias("feature"), raw.alias("raw_score"))
+    types = e.select("event_type").distinct()
+    alias = types.select(F.lit("ing").alias("kind"), F.explode(F.array(F.concat("event_type", F.lit("_0")), F.concat("event_type", F.lit("_1")))).alias("raw_key"), F.col("event_type").alias("canonical"))
+    white = types.where("event_type <> 'view'").select(F.lit("ing").alias("kind"), F.col("event_type").alias("feature"))
+    return tidy(profiles.clean_profile(rows, white, alias))
+
+
+@query("clean_details", _SPLIT + """, d AS (SELECT entity_id, count(DISTINCT feature) FILTER (WHERE reason IS NULL AND kind = 'ing') AS kept_ingredients, count(DISTINCT feature) FILTER (WHERE reason IS NULL AND kind = 'met') AS kept_methods,
+  string_agg(kind || ':' || feature || ':' || reason, ';' ORDER BY kind, feature, reason) FILTER (WHERE reason IS NOT NULL) AS removed FROM split GROUP BY 1)
+SELECT n_name AS file, c_custkey AS entity_id, c_name AS name, coalesce(kept_ingredients, 0) AS kept_ingredients, coalesce(kept_methods, 0) AS kept_methods, coalesce(kept_ingredients, 0) = 0 AS emptied, coalesce(removed, '') AS removed
+FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN d ON entity_id = c_custkey""")
+def clean_details(spark, sf):
+    """What cleaning removed from each customer, with reasons, and who is left empty."""
+    entities = B.customers(spark, sf).select("entity_id", "name", F.col("group").alias("file"))
+    rows = profiles.clean_details(_split(spark, sf), entities)
+    return rows.withColumn("removed", F.concat_ws(";", F.transform("removed", lambda r: F.concat_ws(":", r["kind"], r["raw_key"], r["reason"]))))
+
+
 @query("clean_totals", _REPORT + "SELECT count(*) AS files, sum(entities)::BIGINT AS entities, sum(removed)::BIGINT AS removed, sum(empty_entities)::BIGINT AS empty_entities FROM r")
 def clean_totals(spark, sf):
     return tidy(profiles.clean_totals(_report(spark, sf)))
@@ -354,9 +380,12 @@ def group_by_country(spark, sf):
     return records.group_by_country(c, "n_name")
 
 
-@query("nested_groups", f"""WITH {B.CM} SELECT supergroup, "group", name FROM cm""")
+@query("nested_groups", f"""WITH {B.CM}, r AS (SELECT supergroup, "group", name, row_number() OVER (PARTITION BY supergroup, "group" ORDER BY name) - 1 AS r, count(*) OVER (PARTITION BY supergroup, "group") AS n_places FROM cm)
+SELECT supergroup, "group", (r // 40)::BIGINT AS part, string_agg(name, ',' ORDER BY name) AS places, n_places FROM r GROUP BY 1, 2, 3, 5""")
 def nested_groups(spark, sf):
-    return records.nested_groups(B.customers(spark, sf), "supergroup", "group", "name")
+    """Customers nested by region and nation, in parts of 40 names."""
+    rows = records.nested_groups(B.customers(spark, sf), "supergroup", "group", "name", 40)
+    return tidy(rows.withColumn("places", F.concat_ws(",", "places")))
 
 
 @query("members_of_group", f"""WITH {B.CM} SELECT entity_id, name FROM cm WHERE "group" = 'NATION_3'""")
@@ -371,6 +400,19 @@ def name_lookup(spark, sf):
     return rows.select("c_custkey", F.col("c_nationkey_name").alias("nation_name"))
 
 
+@query("group_context", f"""WITH {B.PF}, {B.CM}, sizes AS (SELECT "group", count(*) AS members FROM cm GROUP BY 1),
+m AS (SELECT cm."group", kind, feature, sum(score) / any_value(members) AS avg_score FROM pf JOIN cm ON cm.entity_id = pf.entity_id JOIN sizes ON sizes."group" = cm."group" GROUP BY 1, 2, 3),
+t AS (SELECT "group", kind, feature, row_number() OVER (PARTITION BY "group", kind ORDER BY avg_score DESC, feature) AS rank FROM m QUALIFY rank <= 10),
+f AS (SELECT "group", string_agg(kind || ':' || feature, ',' ORDER BY kind, rank) AS features FROM t GROUP BY 1),
+n AS (SELECT "group", string_agg(name, ',' ORDER BY name) AS names FROM (SELECT * FROM cm QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY name, entity_id) <= 20) GROUP BY 1)
+SELECT sizes."group", members, names, features FROM sizes JOIN n ON n."group" = sizes."group" LEFT JOIN f ON f."group" = sizes."group\"""")
+def group_context(spark, sf):
+    """Each nation's strongest features beside the names of its members."""
+    rows = profiles.group_context(B.customer_profile(spark, sf), B.customers(spark, sf), "group", 10, 20)
+    features = F.concat_ws(",", F.transform("features", lambda f: F.concat_ws(":", f["kind"], f["feature"])))
+    return tidy(rows.select("group", "members", F.concat_ws(",", "names").alias("names"), features.alias("features")))
+
+
 @query("group_profile_topk", f"""WITH {B.PF}, {B.CM}, sizes AS (SELECT "group", count(*) AS members FROM cm GROUP BY 1),
 m AS (SELECT cm."group", kind, feature, sum(score) / any_value(members) AS avg_score, any_value(members) AS members FROM pf JOIN cm ON cm.entity_id = pf.entity_id JOIN sizes ON sizes."group" = cm."group" GROUP BY 1, 2, 3)
 SELECT "group", kind, feature, round(avg_score, 6) AS avg_score, members, row_number() OVER (PARTITION BY "group", kind ORDER BY avg_score DESC, feature) AS rank FROM m QUALIFY rank <= 10""")

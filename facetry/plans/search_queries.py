@@ -134,6 +134,21 @@ def latest_event_per_user(spark, sf):
     return tidy(rows.select("user_id", "event_id", "event_type", "value"))
 
 
+@query("latest_compacted", """SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_compacted(spark, sf):
+    """Newest event per user from a store that was compacted between two runs of the stream."""
+    root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    events = B.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = events.schema
+    late = F.xxhash64("event_id") % 2 == 0
+    for part, rows in enumerate((events.where(late), events.where(~late))):
+        rows.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        inc.latest_stream(stream, "user_id", "ts", f"{root}/state", f"{root}/checkpoint", id_col="event_id").awaitTermination()
+        inc.compact_latest(spark, f"{root}/state", "user_id", "ts", "event_id")
+    return tidy(inc.latest_table(spark, f"{root}/state", "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value"))
+
+
 @query("extend_records")
 def extend_records(spark, sf):
     """Payload stream validated, canonicalised and stored; rows per store."""

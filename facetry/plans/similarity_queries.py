@@ -220,12 +220,26 @@ def neighbour_contrast(spark, sf):
     return tidy(contrast(profile, near))
 
 
-@query("entity_panel")
+_PANEL = f"""WITH {B.SP}, {B.SM}, q AS (SELECT entity_id, sum(score * score) AS q FROM sp GROUP BY 1),
+dot AS (SELECT a.entity_id AS a, b.entity_id AS b, sum(a.score * b.score) AS s FROM sp a JOIN sp b ON a.kind = b.kind AND a.feature = b.feature AND a.entity_id <> b.entity_id GROUP BY 1, 2),
+d AS (SELECT x.entity_id, y.entity_id AS neighbour_id, sqrt(greatest(qx.q + qy.q - 2 * coalesce(s, 0), 0)) AS distance FROM sm x JOIN sm y ON x.name <> y.name AND x."group" <> y."group"
+  JOIN q qx ON qx.entity_id = x.entity_id JOIN q qy ON qy.entity_id = y.entity_id LEFT JOIN dot ON dot.a = x.entity_id AND dot.b = y.entity_id),
+k AS (SELECT entity_id, neighbour_id, distance, row_number() OVER (PARTITION BY entity_id ORDER BY distance, neighbour_id) AS rank FROM d QUALIFY rank <= 7),
+t AS (SELECT entity_id, kind, feature, score, row_number() OVER (PARTITION BY entity_id, kind ORDER BY score DESC, feature) AS rank FROM sp QUALIFY rank <= CASE kind WHEN 'ing' THEN 8 ELSE 6 END),
+n AS (SELECT entity_id, count(*) AS n FROM k GROUP BY 1), m AS (SELECT k.entity_id, feature, sum(score) AS s FROM k JOIN sp ON sp.entity_id = k.neighbour_id AND kind = 'ing' GROUP BY 1, 2),
+x AS (SELECT t.entity_id, t.feature, score - coalesce(s, 0) / coalesce(n, 1) AS excess FROM t LEFT JOIN n ON n.entity_id = t.entity_id LEFT JOIN m ON m.entity_id = t.entity_id AND m.feature = t.feature WHERE kind = 'ing'),
+own AS (SELECT entity_id, feature, excess, row_number() OVER (PARTITION BY entity_id ORDER BY excess DESC, feature) AS rank FROM x WHERE excess > 0.15 QUALIFY rank <= 5)
+SELECT 'top_features' AS part, entity_id, kind, feature AS item, round(score, 6) AS value, rank FROM t
+UNION ALL SELECT 'neighbours', entity_id, NULL, neighbour_id::VARCHAR, round(distance, 6), rank FROM k
+UNION ALL SELECT 'distinctive', entity_id, NULL, feature, round(excess, 6), rank FROM own"""
+
+
+@query("entity_panel", _PANEL)
 def entity_panel(spark, sf):
-    """Distinctive features against foreign neighbours (another name and nation)."""
+    """Top features, foreign neighbours (another name and nation) and what sets each supplier apart from them."""
     profile = reliable(B.supplier_profile(spark, sf))
     near = insights.foreign_neighbours(nb.sparse_rows(profile, B.suppliers(spark, sf), ["name", "group"]))
-    return tidy(insights.entity_panel(profile, reliable(near))["distinctive"])
+    return tidy(insights.panel_rows(insights.entity_panel(profile, reliable(near))))
 
 
 def _pair_spec(spark, sf):
@@ -406,6 +420,22 @@ def dimension_coverage(spark, sf):
     return quality.dimension_coverage(B.customer_profile(spark, sf), B.customers(spark, sf), _dimensions(spark, sf))
 
 
+@query("sparsest_covered", f"""WITH {B.PF}, {B.CM}, {_DIM}, need AS (SELECT cm.entity_id, dimension FROM cm, (SELECT DISTINCT dimension FROM dims)),
+has AS (SELECT DISTINCT entity_id, dimension FROM pf JOIN dims ON dims.feature = pf.feature WHERE score > 0),
+gaps AS (SELECT entity_id FROM need ANTI JOIN has USING (entity_id, dimension) GROUP BY 1 HAVING count(*) >= 2),
+n AS (SELECT entity_id, count(*) FILTER (WHERE score > 0) AS n_features FROM pf GROUP BY 1)
+SELECT supergroup, entity_id, n_features, row_number() OVER (PARTITION BY supergroup ORDER BY n_features, name, entity_id) AS rank FROM cm JOIN n USING (entity_id) ANTI JOIN gaps USING (entity_id)
+WHERE n_features < 45 QUALIFY rank <= 5""")
+def sparsest_covered(spark, sf):
+    """The sparsest customers of each region among those that pass the dimension test."""
+    from facetry.operators import records
+
+    profile, entities = B.customer_profile(spark, sf), B.customers(spark, sf)
+    counts = entities.join(profile.groupBy("entity_id").agg(F.count_if(F.col("score") > 0).alias("n_features")), "entity_id")
+    gaps = quality.dimension_coverage(profile, entities, _dimensions(spark, sf)).where("severity = 'error'")
+    return tidy(records.sparsest_per_group(counts, "supergroup", 5, 45, gaps).select("supergroup", "entity_id", "n_features", "rank"))
+
+
 @query("regional_rules", f"""WITH {B.PF}, {B.CM}, rules AS (SELECT 'r' || n_regionkey::VARCHAR AS rule, n_name AS "group", p_brand || '/' || p_type AS feature FROM nation JOIN (SELECT DISTINCT p_brand, p_type FROM part) ON p_brand = 'Brand#' || (n_regionkey + 1)::VARCHAR WHERE p_type IN ('SMALL', 'LARGE'))
 SELECT entity_id, "group", rule, 'warning' AS severity FROM (SELECT DISTINCT entity_id, cm."group", rule FROM cm JOIN rules ON rules."group" = cm."group")
 ANTI JOIN (SELECT DISTINCT entity_id, rule FROM pf JOIN rules ON rules.feature = pf.feature WHERE score > 0) USING (entity_id, rule)""")
@@ -452,6 +482,14 @@ def key_audit(spark, sf):
     return quality.key_audit(keys, alias_table(spark), ("c", "s"))
 
 
+@query("mapping_quality")
+def mapping_quality(spark, sf):
+    """Clusters of customer profiles before and after brands are merged into their first digit."""
+    profile = reliable(B.customer_profile(spark, sf))
+    merged = profile.withColumn("feature", F.regexp_replace("feature", r"^(Brand#[0-9])[0-9]*/", "$1/"))
+    return tidy(quality.mapping_quality(profile, merged))
+
+
 @query("mapping_impact", """WITH b AS (SELECT event_type AS f, count(DISTINCT user_id) AS df FROM events WHERE value > 0 GROUP BY 1),
 a AS (SELECT CASE event_type WHEN 'click' THEN 'touch' WHEN 'view' THEN 'touch' WHEN 'purchase' THEN 'buy' ELSE event_type END AS f, count(DISTINCT user_id) AS df FROM events WHERE value > 0 GROUP BY 1)
 SELECT 'before' AS variant, count(*) AS features, count(*) FILTER (WHERE df >= 5) AS supported, sum(df)::BIGINT AS entries FROM b

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from facetry.functions.geo import close_ring
@@ -38,6 +39,23 @@ def run_report(entities: DataFrame, catalog: DataFrame, params: Mapping[str, obj
     return out.withColumn("finished_at", F.current_timestamp())
 
 
+def observed_build(entities: DataFrame, catalog: DataFrame, path: str, params: Mapping[str, object], fmt: str = "parquet") -> DataFrame:
+    """Write a build's entities and catalogue, and give its report row from what the same two passes observed.
+
+    Counts, sums and null counts come from ``Observation`` on the written frames, so nothing is computed twice.
+    """
+    seen, keys = Observation("entities"), Observation("catalog")
+    begun = time.time()
+    entities.observe(seen, F.count(F.lit(1)).alias("entities"), F.count_if(F.col("name").isNull()).alias("without_name")).write.format(fmt).save(f"{path}/entities")
+    catalog.observe(keys, F.count(F.lit(1)).alias("features"), F.count_if(F.col("kind") == "ing").alias("ingredient_features"),
+                    F.count_if(F.col("kind") == "met").alias("method_features")).write.format(fmt).save(f"{path}/catalog")
+    found = {**seen.get, **keys.get}
+    row = entities.sparkSession.range(1).select(*[F.lit(found[n]).cast("bigint").alias(n) for n in sorted(found)], F.lit(time.time() - begun).alias("seconds"))
+    for name, value in sorted(params.items()):
+        row = row.withColumn(f"param_{name}", F.lit(value))
+    return row.withColumn("finished_at", F.current_timestamp())
+
+
 def write_run_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     report.write.mode(mode).json(path)
 
@@ -48,6 +66,15 @@ def write_insights(insights: Mapping[str, DataFrame], path: str, mode: str = "er
         rows.write.mode(mode).json(f"{path}/{name}")
 
 
+def write_insights_document(insights: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """All insights as one JSON document, an array each; every insight is a short top-n report, so the document is one row."""
+    from facetry.runtime import scalar
+
+    spark = next(iter(insights.values())).sparkSession
+    parts = [scalar(rows.select(F.struct(*rows.columns).alias("_r")), F.collect_list("_r")).alias(name) for name, rows in insights.items()]
+    spark.range(1).select(F.to_json(F.struct(*parts)).alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
 def polygon_features(cells: DataFrame, vertices: Column, properties: Column) -> DataFrame:
     """GeoJSON polygon feature text per cell, rings closed and free of antimeridian jumps."""
     feature = F.struct(
@@ -73,12 +100,29 @@ def write_chunked(rows: DataFrame, path: str, chunks: int, *order: Column, mode:
     placed.drop("position").write.mode(mode).partitionBy("chunk").json(path)
 
 
-def write_clean_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    report.write.mode(mode).json(path)
+def write_clean_report(report: DataFrame, path: str, mode: str = "errorifexists", details: DataFrame | None = None) -> None:
+    """Counts per file and, with ``details``, the removed keys of every entity and the names of those left empty."""
+    if details is None:
+        report.write.mode(mode).json(path)
+        return
+    report.write.mode(mode).json(f"{path}/files")
+    details.write.mode(mode).json(f"{path}/entities")
+    details.where("emptied").select("file", "name").write.mode(mode).json(f"{path}/emptied")
 
 
 def overwrite_with_backup(rows: DataFrame, path: str, version: str) -> str:
-    """Write a new version beside the first; the data being read is never overwritten."""
+    """Write a new version; the first one of all is kept beside as ``backup`` and never written again.
+
+    The data being read is never overwritten, as every version has a folder of its own.
+    """
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(where)) if fs.exists(where) else []
+    if not any(n == "_backup" for _, n in names):
+        first = next((n for _, n in names if n.startswith("version=")), None)
+        if first:
+            spark.read.parquet(f"{path}/{first}").write.parquet(f"{path}/_backup")
     target = f"{path}/version={version}"
     rows.write.mode("errorifexists").parquet(target)
     return target

@@ -3,6 +3,8 @@
 State is a set of folders partitioned by batch number.  A batch writes only its
 own partition and replaces it when it is run again, so a restart after a crash
 neither loses nor doubles work; merged tables are views over the partitions.
+``compact_stores`` and ``compact_latest`` turn many partitions into one
+generation (see ``generations``), so reads do not slow down with the batches.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from facetry.operators import profiles, quality
 from facetry.operators.ordering import top_k_per_group
 from facetry.operators.records import merge_extended, new_keys, with_processed_at
 from facetry.runtime import reliable
+from facetry.streaming import generations
 
+STORES = ("entities", "scores", "catalog", "proposals", "rejected")
 CITY_FIELDS = "entity_id string, id string, name string, famous_dishes array<string>, extended_at timestamp"
 
 
@@ -35,29 +39,21 @@ class Stores:
 
 def read_store(spark: SparkSession, stores: Stores, name: str, schema: str) -> DataFrame:
     """All batches of one store, or no rows before the first."""
-    if not _exists(spark, stores.path(name)):
-        return spark.createDataFrame([], f"{schema}, batch_id bigint")
-    return spark.read.schema(f"{schema}, batch_id bigint").parquet(stores.path(name))
+    return generations.read(spark, stores.root, name, schema)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def first_batch(spark: SparkSession, checkpoint: str, paths: list[str]) -> int:
+def first_batch(spark: SparkSession, checkpoint: str, root: str, names: list[str]) -> int:
     """Number of the partition of a run's batch 0, kept with its checkpoint.
 
     A new checkpoint counts from 0 again; its partitions begin after all that earlier
     runs have written, so it never replaces their state.
     """
     note = f"{checkpoint}/first_batch"
-    if _exists(spark, note):
+    if generations.exists(spark, note):
         return spark.read.schema("n bigint").json(note).first()["n"]
-    tops = [spark.read.parquet(p).agg(F.max("batch_id").alias("n")).first()["n"] for p in paths if _exists(spark, p)]
-    first = max([int(t) + 1 for t in tops if t is not None], default=0)
-    spark.range(1).select(F.lit(first).cast("bigint").alias("n")).coalesce(1).write.json(note)
-    return first
+    last = max([generations.state(spark, root).upto, *(n for name in names for n in generations.batches(spark, root, name))])
+    spark.range(1).select(F.lit(last + 1).cast("bigint").alias("n")).coalesce(1).write.json(note)
+    return last + 1
 
 
 def parse_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -157,7 +153,7 @@ def process_batch(batch: DataFrame, batch_id: int, stores: Stores, alias: DataFr
 def extend_stream(payloads: DataFrame, stores: Stores, alias: DataFrame, catalog: DataFrame, checkpoint: str,
                   required: DataFrame | None = None, dry_run: bool = False) -> StreamingQuery:
     """Run ``process_batch`` over a stream of (payload_id, payload); resumes from its checkpoint."""
-    first = first_batch(payloads.sparkSession, checkpoint, [stores.path(n) for n in ("entities", "scores", "catalog", "proposals", "rejected")])
+    first = first_batch(payloads.sparkSession, checkpoint, stores.root, list(STORES))
     return (payloads.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(lambda rows, n: process_batch(rows, first + n, stores, alias, catalog, required, dry_run)).start())
 
@@ -190,7 +186,7 @@ def latest_stream(rows: DataFrame, key: str, time_col: str, path: str, checkpoin
     over all partitions.  Copies of a record are equal there, so none has to be dropped
     by a watermark, which would lose late keys as well.
     """
-    first = first_batch(rows.sparkSession, checkpoint, [path])
+    first = first_batch(rows.sparkSession, checkpoint, path, [""])
 
     def store(batch: DataFrame, batch_id: int) -> None:
         order = [F.desc(time_col)] + ([F.desc(id_col)] if id_col else [])
@@ -202,5 +198,22 @@ def latest_stream(rows: DataFrame, key: str, time_col: str, path: str, checkpoin
 
 
 def latest_table(spark: SparkSession, path: str, key: str, time_col: str, id_col: str | None = None) -> DataFrame:
+    return _newest(generations.read(spark, path, ""), key, time_col, id_col).drop("batch_id")
+
+
+def _newest(rows: DataFrame, key: str, time_col: str, id_col: str | None) -> DataFrame:
     order = [F.desc(time_col)] + ([F.desc(id_col)] if id_col else []) + [F.desc("batch_id")]
-    return top_k_per_group(spark.read.parquet(path), [key], 1, *order).drop("rank", "batch_id")
+    return top_k_per_group(rows, [key], 1, *order).drop("rank")
+
+
+def compact_latest(spark: SparkSession, path: str, key: str, time_col: str, id_col: str | None = None, upto: int | None = None) -> generations.State:
+    """Keep only the newest record of each key of the finished batches; run it between two runs of the stream."""
+    return generations.compact(spark, path, {"": (None, lambda rows: _newest(rows, key, time_col, id_col))}, upto)
+
+
+def compact_stores(spark: SparkSession, stores: Stores, upto: int | None = None) -> generations.State:
+    """One generation of all five stores: entities by their newest batch, catalogue keys once, the rest as it is."""
+    newest = lambda rows: top_k_per_group(rows, ["id"], 1, F.desc("batch_id")).drop("rank")
+    once = lambda rows: rows.groupBy("kind", "feature").agg(F.min("batch_id").alias("batch_id"))
+    rewrite = {"entities": newest, "catalog": once}
+    return generations.compact(spark, stores.root, {name: (None, rewrite.get(name)) for name in STORES}, upto)
