@@ -100,12 +100,14 @@ def knn_graph(rows: DataFrame, k: int = 20, metric: str = "cosine", steps: int =
     return both.groupBy("i", "j").agg((F.sum("w") - F.when(F.count("w") > 1, F.max("w") * F.min("w")).otherwise(0.0)).alias("w"))
 
 
-def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 10) -> DataFrame:
-    """Spectral coordinates of the neighbour graph: (entity_id, embedding).
-
-    Orthogonal iteration: one sparse product per step as join + partial
-    aggregation, a dims x dims factorisation on the driver, a checkpoint each
-    step.  The trivial constant direction is projected out by degree weights.
+def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 60, tolerance: float = 1e-3) -> DataFrame:
+    """Spectral coordinates of the neighbour graph: (entity_id, embedding, residual).
+
+    Orthogonal iteration: one sparse product per step as join + partial aggregation, a
+    dims x dims factorisation on the driver, a checkpoint each step.  The trivial constant
+    direction is projected out by degree weights.  It ends when the part of a step that
+    leaves the subspace is within ``tolerance`` per direction, or after ``iterations``;
+    ``residual`` tells how far it came.
     """
     graph = reliable(graph)
     degree = reliable(graph.groupBy("i").agg(F.sum("w").alias("_deg")))
@@ -115,20 +117,32 @@ def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 10) ->
     names = [f"v{c}" for c in range(dims)]
     seed = [(F.pmod(F.xxhash64("i", F.lit(c)), F.lit(1 << 20)) / float(1 << 19) - 1.0).alias(n) for c, n in enumerate(names)]
     state = degree.select("i", F.sqrt("_deg").alias("_root"), *seed)
-    state = _orthonormal(state, names)
+    state = reliable(_orthonormal(state, names))
+    residual = float("inf")
     for _ in range(iterations):
         step = scaled.join(state.select(F.col("i").alias("j"), *names), "j").groupBy("i").agg(
             *[F.sum(F.col("w") * F.col(n)).alias(f"_{n}") for n in names])
         # (A + I) / 2 keeps the order of eigenvalues and avoids sign flips
-        state = _orthonormal(state.join(step, "i", "left").select(
-            "i", "_root", *[((F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))) / 2).alias(n) for n in names]), names)
+        moved = reliable(state.join(step, "i", "left").select(
+            "i", "_root", *[F.col(n).alias(f"b{n}") for n in names], *[((F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))) / 2).alias(n) for n in names]))
+        residual = _left_over(moved, names)
+        state = reliable(_orthonormal(moved, names))
+        if residual <= tolerance:
+            break
     n = state.count()
-    return state.select(F.col("i").alias("entity_id"), F.array(*[F.col(c) * float(np.sqrt(n)) for c in names]).alias("embedding"))
+    return state.select(F.col("i").alias("entity_id"), F.array(*[F.col(c) * float(np.sqrt(n)) for c in names]).alias("embedding"), F.lit(residual).alias("residual"))
+
+
+def _left_over(moved: DataFrame, names: Sequence[str]) -> float:
+    """Root mean square, over the directions, of what a step moved out of the subspace (columns b...) that it began with."""
+    inside = [F.sum(F.col(f"b{a}") * F.col(b)).alias(f"h{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]
+    row = moved.agg(*inside, sum((F.sum(F.col(n) * F.col(n)) for n in names), F.lit(0.0)).alias("all")).head()
+    kept = sum((row[f"h{i}_{j}"] or 0.0) ** 2 for i in range(len(names)) for j in range(len(names)))
+    return float(np.sqrt(max(0.0, (row["all"] or 0.0) - kept) / len(names)))
 
 
 def _orthonormal(state: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Orthonormal columns, free of the trivial direction, via their small Gram matrix."""
-    state = reliable(state)
+    """Orthonormal columns, free of the trivial direction, via their small Gram matrix; ``state`` is read twice."""
     every = ["_root", *names]
     pairs = [(a, b) for a in range(len(every)) for b in range(a, len(every))]
     sums = state.agg(*[F.sum(F.col(every[a]) * F.col(every[b])).alias(f"g{a}_{b}") for a, b in pairs]).head()

@@ -282,7 +282,18 @@ def knn_graph(spark, sf):
 def structural_embed(spark, sf):
     graph = embed.knn_graph(nb.dense_rows(B.embeddings(spark, sf), "entity_id", "vector"), 20)
     rows = embed.structural_embed(graph, 12)
-    return tidy(rows.select("entity_id", *[F.col("embedding")[i].alias(f"e{i:02d}") for i in range(12)]))
+    return tidy(rows.select("entity_id", "residual", *[F.col("embedding")[i].alias(f"e{i:02d}") for i in range(12)]))
+
+
+@query("sparse_axes")
+def sparse_axes(spark, sf):
+    """Colour coordinates of customers straight from their long profiles, with the residual of the axes."""
+    from facetry.operators import subspace
+
+    profile = reliable(profiles.idf_weight(profiles.l1_normalize(B.customer_profile(spark, sf))))
+    rows, found = subspace.sparse_color_embed(profile, 3, 5)
+    xyz = F.col("color_raw")
+    return tidy(rows.select("entity_id", *[xyz[i].alias(f"axis_{i}") for i in range(3)], F.lit(found.residual <= 1e-4).alias("settled")))
 
 
 @query("kmeans_families")
