@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from facetry.functions import color as C
 from facetry.functions import geo as G
 from facetry.functions import vectors as V
-from facetry.operators import calibrate, cluster, cover, embed, grid, ordering, profiles
+from facetry.operators import calibrate, cells, cluster, cover, embed, grid, ordering, profiles
 from facetry.operators import neighbours as nb
 from facetry.plans import bindings as B
 from facetry.plans import insights
@@ -432,6 +432,13 @@ def knn_sphere(spark, sf):
     return tidy(_near(spark, sf).select(F.col("id").alias("cell"), F.col("neighbour_id").alias("site"), F.col("value").alias("chord"), "rank"))
 
 
+@query("knn_cells", f"WITH {_SITES} SELECT cell, site, round(chord, 6) AS chord, rank FROM near")
+def knn_cells(spark, sf):
+    """The same lists by hierarchical cells and ring search."""
+    near = cells.knn_cells(B.customers(spark, sf), B.suppliers(spark, sf), 30, "entity_id")
+    return tidy(near.select(F.col("id").alias("cell"), F.col("neighbour_id").alias("site"), F.col("value").alias("chord"), "rank"))
+
+
 @query("coverage_gate", f"""WITH {_SITES}, g AS (SELECT cell, max(chord) FILTER (WHERE rank = 1) AS one, max(chord) FILTER (WHERE rank = 2) AS two FROM near GROUP BY 1)
 SELECT cell FROM g WHERE one <= 2 * sin(800 / 12742.0) AND coalesce(two <= 2 * sin(1500 / 12742.0), true)""")
 def coverage_gate(spark, sf):
