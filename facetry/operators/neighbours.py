@@ -406,6 +406,75 @@ def _run_pairs(tasks: DataFrame, queries: DataFrame, sites: DataFrame, schema: s
     return rows.mapInPandas(work, schema)
 
 
+def _run_lists(tasks: DataFrame, queries: DataFrame, sites: DataFrame, schema: T.StructType, asked: int, metric: str, drop_self: bool) -> DataFrame:
+    """The best sites of each query row: block pairs of one query block follow each other, and one list a row goes on from pair to pair.
+
+    Query blocks are joined last, so their pairs come in a row; where they do not, a
+    list is only given out in parts.  Each pair is held to the distance that the list has reached.
+    """
+    wide = ["ids", "terms", "weights", "sizes", "tags"]
+    q = queries.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in wide])
+    s = sites.select(F.col("block").alias("s_block"), *[F.col(c).alias(f"s_{c}") for c in wide])
+    rows = tasks.join(s, "s_block").join(q, "q_block")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, lists = None, None
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.q_block != now:
+                    if lists is not None:
+                        yield lists.rows(schema.names)
+                    now = r.q_block
+                    lists = _Lists(_block(r.q_ids, r.q_terms, r.q_weights, r.q_sizes, r.q_tags), asked, metric)
+                lists.meet(_block(r.s_ids, r.s_terms, r.s_weights, r.s_sizes, r.s_tags), np.asarray(r.reach), drop_self and r.q_block == r.s_block)
+        if lists is not None:
+            yield lists.rows(schema.names)
+
+    return rows.mapInPandas(work, schema)
+
+
+class _Lists:
+    """The best sites so far of every row of one block."""
+
+    def __init__(self, block: _Block, asked: int, metric: str):
+        self.block, self.asked, self.metric = block, asked, metric
+        self.row, self.key, self.site = np.zeros(0, np.int64), np.zeros(0), None
+        self.far = np.full(len(block.ids), np.inf)
+
+    def meet(self, other: _Block, reach: np.ndarray, same: bool) -> None:
+        x, y = _matrices(self.block, other)
+        d = _distances(x, y)
+        shared = _same_tag(self.block, other)
+        if shared is not None:
+            d[shared] = np.inf
+        if same:
+            d[self.block.ids[:, None] == other.ids[None, :]] = np.inf
+        limit = np.minimum(reach, self.far)
+        if d.shape[1] > self.asked:
+            limit = np.minimum(limit, np.partition(d, self.asked - 1, axis=1)[:, self.asked - 1] + SLACK)
+        i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        if not len(i):
+            return
+        value = _exact(x, y, i, j, self.metric)
+        row = np.concatenate((self.row, i))
+        key = np.concatenate((self.key, -value if self.metric == "cosine" else value))
+        site = other.ids[j] if self.site is None else np.concatenate((self.site, other.ids[j]))
+        order = np.lexsort((site, key, row))
+        row, key, site = row[order], key[order], site[order]
+        first = np.searchsorted(row, np.arange(len(self.far)))
+        kept = np.arange(len(row)) - first[row] < self.asked
+        self.row, self.key, self.site = row[kept], key[kept], site[kept]
+        full = np.bincount(self.row, minlength=len(self.far)) >= self.asked
+        last = self.key[np.minimum(np.searchsorted(self.row, np.arange(len(self.far)), side="right") - 1, len(self.key) - 1)]
+        gap = np.sqrt(np.maximum(0.0, 2.0 + 2.0 * last)) if self.metric == "cosine" else last
+        self.far = np.where(full, gap + 1e-7, np.inf)
+
+    def rows(self, names: Sequence[str]) -> pd.DataFrame:
+        value = -self.key if self.metric == "cosine" else self.key
+        site = self.site if self.site is not None else np.zeros(0, self.block.ids.dtype)
+        return pd.DataFrame(dict(zip(names, (self.block.ids[self.row], site, value), strict=True)))
+
+
 def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
     """Value of the chosen pairs: cosine, or distance free of cancellation."""
     out = np.empty(len(i))
@@ -481,25 +550,12 @@ def knn_join(rows: DataFrame, k: int, metric: str = "euclidean", sites: DataFram
     else:
         reach_of = lambda block, to_pivots: _count_reach(to_pivots, geometry, asked) + SLACK
 
-    def best(a, b, x, y, reach, same_block):
-        d = _distances(x, y)
-        shared = _same_tag(a, b)
-        if shared is not None:
-            d[shared] = np.inf
-        if drop_self and same_block:
-            d[a.ids[:, None] == b.ids[None, :]] = np.inf
-        limit = reach
-        if d.shape[1] > asked:
-            limit = np.minimum(reach, np.partition(d, asked - 1, axis=1)[:, asked - 1] + SLACK)
-        i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        return a.ids[i], b.ids[j], _exact(x, y, i, j, metric)
-
     id_type = _id_type(rows)
     site_type = _id_type(site_rows)
     schema = T.StructType([T.StructField("id", id_type), T.StructField("neighbour_id", site_type),
                            T.StructField("value", T.DoubleType())])
     tasks = _tasks(queries, side, reach_of, within=False)
-    found = _run_pairs(tasks, queries, side.blocks, schema, best)
+    found = _run_lists(tasks, queries, side.blocks, schema, asked, metric, drop_self)
     first = F.desc("value") if metric == "cosine" else F.asc("value")
     top = lambda df, n, key="id": df.withColumn("rank", F.row_number().over(
         Window.partitionBy(key).orderBy(first, "neighbour_id"))).where(F.col("rank") <= n)

@@ -42,16 +42,18 @@ def read_store(spark: SparkSession, stores: Stores, name: str, schema: str) -> D
     return generations.read(spark, stores.root, name, schema)
 
 
-def first_batch(spark: SparkSession, checkpoint: str, root: str, names: list[str]) -> int:
+def first_batch(spark: SparkSession, checkpoint: str, paths: list[str]) -> int:
     """Number of the partition of a run's batch 0, kept with its checkpoint.
 
     A new checkpoint counts from 0 again; its partitions begin after all that earlier
-    runs have written, so it never replaces their state.
+    runs have written to the stores at ``paths`` or compacted, so it never replaces their state.
     """
     note = f"{checkpoint}/first_batch"
     if generations.exists(spark, note):
         return spark.read.schema("n bigint").json(note).first()["n"]
-    last = max([generations.state(spark, root).upto, *(n for name in names for n in generations.batches(spark, root, name))])
+    # a store may be a root of generations itself or lie in one
+    roots = {*paths, *(p.rstrip("/").rsplit("/", 1)[0] for p in paths)}
+    last = max([*(generations.state(spark, r).upto for r in roots), *(n for p in paths for n in generations.batches(spark, p, ""))])
     spark.range(1).select(F.lit(last + 1).cast("bigint").alias("n")).coalesce(1).write.json(note)
     return last + 1
 
@@ -153,7 +155,7 @@ def process_batch(batch: DataFrame, batch_id: int, stores: Stores, alias: DataFr
 def extend_stream(payloads: DataFrame, stores: Stores, alias: DataFrame, catalog: DataFrame, checkpoint: str,
                   required: DataFrame | None = None, dry_run: bool = False) -> StreamingQuery:
     """Run ``process_batch`` over a stream of (payload_id, payload); resumes from its checkpoint."""
-    first = first_batch(payloads.sparkSession, checkpoint, stores.root, list(STORES))
+    first = first_batch(payloads.sparkSession, checkpoint, [stores.path(n) for n in STORES])
     return (payloads.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(lambda rows, n: process_batch(rows, first + n, stores, alias, catalog, required, dry_run)).start())
 
@@ -186,7 +188,7 @@ def latest_stream(rows: DataFrame, key: str, time_col: str, path: str, checkpoin
     over all partitions.  Copies of a record are equal there, so none has to be dropped
     by a watermark, which would lose late keys as well.
     """
-    first = first_batch(rows.sparkSession, checkpoint, path, [""])
+    first = first_batch(rows.sparkSession, checkpoint, [path])
 
     def store(batch: DataFrame, batch_id: int) -> None:
         order = [F.desc(time_col)] + ([F.desc(id_col)] if id_col else [])
