@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -100,7 +101,7 @@ def knn_graph(rows: DataFrame, k: int = 20, metric: str = "cosine", steps: int =
     return both.groupBy("i", "j").agg((F.sum("w") - F.when(F.count("w") > 1, F.max("w") * F.min("w")).otherwise(0.0)).alias("w"))
 
 
-def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 60, tolerance: float = 1e-3) -> DataFrame:
+def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 20, tolerance: float = 1e-3) -> DataFrame:
     """Spectral coordinates of the neighbour graph: (entity_id, embedding, residual).
 
     Orthogonal iteration: one sparse product per step as join + partial aggregation, a
@@ -117,39 +118,44 @@ def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 60, tol
     names = [f"v{c}" for c in range(dims)]
     seed = [(F.pmod(F.xxhash64("i", F.lit(c)), F.lit(1 << 20)) / float(1 << 19) - 1.0).alias(n) for c, n in enumerate(names)]
     state = degree.select("i", F.sqrt("_deg").alias("_root"), *seed)
-    state = reliable(_orthonormal(state, names))
+    state = reliable(state)
+    state = reliable(_orthonormal(state, names, _gram(state, ["_root", *names])))
     residual = float("inf")
+    before = [f"b{n}" for n in names]
     for _ in range(iterations):
         step = scaled.join(state.select(F.col("i").alias("j"), *names), "j").groupBy("i").agg(
             *[F.sum(F.col("w") * F.col(n)).alias(f"_{n}") for n in names])
         # (A + I) / 2 keeps the order of eigenvalues and avoids sign flips
         moved = reliable(state.join(step, "i", "left").select(
-            "i", "_root", *[F.col(n).alias(f"b{n}") for n in names], *[((F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))) / 2).alias(n) for n in names]))
-        residual = _left_over(moved, names)
-        state = reliable(_orthonormal(moved, names))
+            "i", "_root", *[((F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))) / 2).alias(n) for n in names], *[F.col(n).alias(b) for n, b in zip(names, before, strict=True)]))
+        gram = _gram(moved, ["_root", *names, *before])
+        # what the step moved out of the subspace that it began with, root mean square over the directions
+        inside = gram[1:dims + 1, dims + 1:]
+        residual = float(np.sqrt(max(0.0, np.trace(gram[1:dims + 1, 1:dims + 1]) - (inside ** 2).sum()) / dims))
+        state = reliable(_orthonormal(moved, names, gram[:dims + 1, :dims + 1]))
         if residual <= tolerance:
             break
     n = state.count()
     return state.select(F.col("i").alias("entity_id"), F.array(*[F.col(c) * float(np.sqrt(n)) for c in names]).alias("embedding"), F.lit(residual).alias("residual"))
 
 
-def _left_over(moved: DataFrame, names: Sequence[str]) -> float:
-    """Root mean square, over the directions, of what a step moved out of the subspace (columns b...) that it began with."""
-    inside = [F.sum(F.col(f"b{a}") * F.col(b)).alias(f"h{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]
-    row = moved.agg(*inside, sum((F.sum(F.col(n) * F.col(n)) for n in names), F.lit(0.0)).alias("all")).head()
-    kept = sum((row[f"h{i}_{j}"] or 0.0) ** 2 for i in range(len(names)) for j in range(len(names)))
-    return float(np.sqrt(max(0.0, (row["all"] or 0.0) - kept) / len(names)))
+def _gram(state: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Products of all pairs of columns, summed over the rows: one small matrix a task."""
+    def run(batches):
+        total = np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]) if batch.num_rows else np.zeros((0, len(columns)))
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
+    parts = state.select(*columns).mapInArrow(run, "part binary").collect()
+    return np.sum([np.frombuffer(r["part"], float).reshape(len(columns), -1) for r in parts], axis=0)
 
-def _orthonormal(state: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Orthonormal columns, free of the trivial direction, via their small Gram matrix; ``state`` is read twice."""
+
+def _orthonormal(state: DataFrame, names: Sequence[str], gram: np.ndarray) -> DataFrame:
+    """Orthonormal columns, free of the trivial direction, from the Gram matrix of ``_root`` and the columns."""
     every = ["_root", *names]
-    pairs = [(a, b) for a in range(len(every)) for b in range(a, len(every))]
-    sums = state.agg(*[F.sum(F.col(every[a]) * F.col(every[b])).alias(f"g{a}_{b}") for a, b in pairs]).head()
-    gram = np.zeros((len(every), len(every)))
-    for a, b in pairs:
-        gram[a, b] = gram[b, a] = sums[f"g{a}_{b}"] or 0.0
-    gram += np.eye(len(every)) * 1e-12 * max(1.0, np.trace(gram))
+    gram = gram + np.eye(len(every)) * 1e-12 * max(1.0, np.trace(gram))
     inverse = np.linalg.inv(np.linalg.cholesky(gram)).T  # columns: combinations that are orthonormal
     out = []
     for c, name in enumerate(names, 1):
