@@ -101,7 +101,7 @@ def knn_graph(rows: DataFrame, k: int = 20, metric: str = "cosine", steps: int =
     return both.groupBy("i", "j").agg((F.sum("w") - F.when(F.count("w") > 1, F.max("w") * F.min("w")).otherwise(0.0)).alias("w"))
 
 
-def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 20, tolerance: float = 1e-3) -> DataFrame:
+def structural_embed(graph: DataFrame, dims: int = 12, iterations: int = 10, *, tolerance: float = 1e-3) -> DataFrame:
     """Spectral coordinates of the neighbour graph: (entity_id, embedding, residual).
 
     Orthogonal iteration: one sparse product per step as join + partial aggregation, a

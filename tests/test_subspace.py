@@ -60,7 +60,7 @@ def test_structure_tells_how_far_it_came(spark):
     edges = [(i, j, 1.0) for r in range(2) for i in range(r * 12, r * 12 + 12) for j in range(r * 12, r * 12 + 12) if i != j] + [(0, 12, 0.1), (12, 0, 0.1)]
     graph = spark.createDataFrame(edges, "i long, j long, w double")
     loose = embed.structural_embed(graph, 1, iterations=1).head()["residual"]
-    rows = embed.structural_embed(graph, 1, 60, 1e-4).collect()
+    rows = embed.structural_embed(graph, 1, 60, tolerance=1e-4).collect()
     assert rows[0]["residual"] <= 1e-4 < loose
     signs = {r["entity_id"]: r["embedding"][0] > 0 for r in rows}
     assert len({signs[i] for i in range(12)}) == 1 and signs[0] != signs[12]
