@@ -406,13 +406,13 @@ def _run_pairs(tasks: DataFrame, queries: DataFrame, sites: DataFrame, schema: s
     return rows.mapInPandas(work, schema)
 
 
-def _run_lists(tasks: DataFrame, queries: DataFrame, sites: DataFrame, schema: T.StructType, asked: int, metric: str, drop_self: bool) -> DataFrame:
+def _run_lists(tasks: DataFrame, queries: DataFrame, sites: DataFrame, schema: T.StructType, asked: int, metric: str, drop_self: bool, tagged: bool) -> DataFrame:
     """The best sites of each query row: block pairs of one query block follow each other, and one list a row goes on from pair to pair.
 
     Query blocks are joined last, so their pairs come in a row; where they do not, a
     list is only given out in parts.  Each pair is held to the distance that the list has reached.
     """
-    wide = ["ids", "terms", "weights", "sizes", "tags"]
+    wide = ["ids", "terms", "weights", "sizes", *(["tags"] if tagged else [])]  # empty lists of every row are dear to move
     q = queries.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in wide])
     s = sites.select(F.col("block").alias("s_block"), *[F.col(c).alias(f"s_{c}") for c in wide])
     rows = tasks.join(s, "s_block").join(q, "q_block")
@@ -425,8 +425,8 @@ def _run_lists(tasks: DataFrame, queries: DataFrame, sites: DataFrame, schema: T
                     if lists is not None:
                         yield lists.rows(schema.names)
                     now = r.q_block
-                    lists = _Lists(_block(r.q_ids, r.q_terms, r.q_weights, r.q_sizes, r.q_tags), asked, metric)
-                lists.meet(_block(r.s_ids, r.s_terms, r.s_weights, r.s_sizes, r.s_tags), np.asarray(r.reach), drop_self and r.q_block == r.s_block)
+                    lists = _Lists(_block(r.q_ids, r.q_terms, r.q_weights, r.q_sizes, r.q_tags if tagged else []), asked, metric)
+                lists.meet(_block(r.s_ids, r.s_terms, r.s_weights, r.s_sizes, r.s_tags if tagged else []), np.asarray(r.reach), drop_self and r.q_block == r.s_block)
         if lists is not None:
             yield lists.rows(schema.names)
 
@@ -440,10 +440,26 @@ class _Lists:
         self.block, self.asked, self.metric = block, asked, metric
         self.row, self.key, self.site = np.zeros(0, np.int64), np.zeros(0), None
         self.far = np.full(len(block.ids), np.inf)
+        self.vocabulary = block.vocabulary()
+        self.matrix = block.matrix(self.vocabulary) if metric == "cosine" else None
+
+    def _compared(self, other: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both sides as matrices and their distances.  Cosines need only the terms of this block: others add nothing to a product."""
+        if self.matrix is None:
+            x, y = _matrices(self.block, other)
+            return x, y, _distances(x, y)
+        if self.vocabulary is None:
+            y = other.matrix(None)
+        else:
+            at = np.minimum(np.searchsorted(self.vocabulary, other.terms), len(self.vocabulary) - 1)
+            mine = self.vocabulary[at] == other.terms
+            y = np.zeros((len(other.sizes), len(self.vocabulary)))
+            y[np.repeat(np.arange(len(other.sizes)), other.sizes)[mine], at[mine]] = other.weights[mine]
+        # rounding of a product near 1 is some 1e-8 in the distance
+        return self.matrix, y, np.maximum(np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.matrix @ y.T))) - 1e-7, 0.0)
 
     def meet(self, other: _Block, reach: np.ndarray, same: bool) -> None:
-        x, y = _matrices(self.block, other)
-        d = _distances(x, y)
+        x, y, d = self._compared(other)
         shared = _same_tag(self.block, other)
         if shared is not None:
             d[shared] = np.inf
@@ -451,7 +467,7 @@ class _Lists:
             d[self.block.ids[:, None] == other.ids[None, :]] = np.inf
         limit = np.minimum(reach, self.far)
         if d.shape[1] > self.asked:
-            limit = np.minimum(limit, np.partition(d, self.asked - 1, axis=1)[:, self.asked - 1] + SLACK)
+            limit = np.minimum(limit, np.partition(d, self.asked - 1, axis=1)[:, self.asked - 1] + 2e-7)
         i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
         if not len(i):
             return
@@ -555,7 +571,7 @@ def knn_join(rows: DataFrame, k: int, metric: str = "euclidean", sites: DataFram
     schema = T.StructType([T.StructField("id", id_type), T.StructField("neighbour_id", site_type),
                            T.StructField("value", T.DoubleType())])
     tasks = _tasks(queries, side, reach_of, within=False)
-    found = _run_lists(tasks, queries, side.blocks, schema, asked, metric, drop_self)
+    found = _run_lists(tasks, queries, side.blocks, schema, asked, metric, drop_self, tagged)
     first = F.desc("value") if metric == "cosine" else F.asc("value")
     top = lambda df, n, key="id": df.withColumn("rank", F.row_number().over(
         Window.partitionBy(key).orderBy(first, "neighbour_id"))).where(F.col("rank") <= n)
