@@ -6,6 +6,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+#: Relative gap below which two values differ by rounding alone.
+TIE = 1e-12
 from pyspark.sql import types as T
 
 # Scores that mark machine-filled data.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.functions.scores import is_filler_tol, raw_variant, variant_number
+from facetry.functions.scores import TIE, is_filler_tol, raw_variant, variant_number
 from facetry.operators.ordering import top_k_per_group, with_position
 from facetry.runtime import scalar
 
@@ -59,9 +59,12 @@ def entity_count(profile: DataFrame):
 
 
 def idf(normalized: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """ln((n+1)/(df+1)) + 1 per feature, where df counts values above ``threshold``."""
+    """ln((n+1)/(df+1)) + 1 per feature, where df counts values above ``threshold``.
+
+    A share that equals the threshold but for the order in which its sum was rounded is not above it.
+    """
     strong = normalized.groupBy("kind", "feature").agg(
-        F.count_if(F.col("score") > threshold).alias("df"))
+        F.count_if(F.col("score") > threshold * (1 + TIE)).alias("df"))
     n = entity_count(normalized)
     return strong.select("kind", "feature", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.color import hue_diff
-from facetry.functions.scores import FILLER_SET, is_filler_set, raw_variant, variant_number
+from facetry.functions.scores import FILLER_SET, TIE, is_filler_set, raw_variant, variant_number
 from facetry.runtime import reliable, scalar
 
 COLUMNS = ["entity_id", "group", "rule", "severity", "detail"]
@@ -69,7 +69,10 @@ def score_rules(scores: DataFrame, fillers: Iterable[float] = FILLER_SET) -> Dat
 
 def coverage_rules(profile: DataFrame, entities: DataFrame, kind: str = "ing", min_total: int = 8,
                    min_meaningful: int = 4, meaningful: float = 0.5, min_std: float = 0.05) -> DataFrame:
-    """Too few features (error), too few strong ones (warning), flat profile (warning)."""
+    """Too few features (error), too few strong ones (warning), flat profile (warning).
+
+    A deviation that equals ``min_std`` but for the order in which it was rounded is not flat.
+    """
     stats = profile.where(F.col("kind") == kind).groupBy("entity_id").agg(
         F.count_if(F.col("score") > 0).alias("_n"), F.count_if(F.col("score") >= meaningful).alias("_m"),
         F.coalesce(F.stddev_pop(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)).alias("_std"))
@@ -77,7 +80,7 @@ def coverage_rules(profile: DataFrame, entities: DataFrame, kind: str = "ing", m
     n, m = F.coalesce("_n", F.lit(0)), F.coalesce("_m", F.lit(0))
     return _violations(rows, [
         (n < min_total, "few_features", "error", n), (m < min_meaningful, "few_strong_features", "warning", m),
-        ((n > 0) & (F.col("_std") < min_std), "flat_profile", "warning", F.round("_std", 3))])
+        ((n > 0) & (F.col("_std") < min_std * (1 - TIE)), "flat_profile", "warning", F.round("_std", 3))])
 
 
 def homogeneity_rules(stats: DataFrame, min_members: int = 3, error_share: float = 0.80, warn_share: float = 0.50) -> DataFrame:
