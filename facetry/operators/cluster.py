@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetry.operators import lloyd
 from facetry.operators import neighbours as nb
 from facetry.operators.ordering import with_position
 from facetry.runtime import reliable
 
+#: Edges that one task joins to components at once (some 50 MB); more go through rounds over the whole table.
+FEW_EDGES = 1 << 18
+
 
 def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42, restarts: int = 10, vector_col: str = "vector", rounds: int = 20,
            tolerance: float = 1e-4) -> DataFrame:
@@ -61,6 +66,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     ``min`` aggregation and a join; every round is checkpointed.
     """
     edges = reliable(edges.select("id", "neighbour_id").where(F.col("id") != F.col("neighbour_id")).distinct())
+    if edges.count() <= FEW_EDGES:
+        return _rooted(nodes, reliable(_few_components(edges)))
     signature = None
     for _ in range(max_rounds):
         edges = reliable(_small_star(_large_star(edges)))
@@ -70,10 +77,47 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         signature = tuple(stats)
     else:
         raise RuntimeError("connected components did not settle")
+    return _rooted(nodes, edges)
+
+
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     root = edges.groupBy("id").agg(F.min("neighbour_id").alias("_root"))
     return nodes.select("id").distinct().join(root, "id", "left").select("id", F.least("id", F.coalesce("_root", "id")).alias("component"))
 
 
+def _few_components(edges: DataFrame) -> DataFrame:
+    """Every node of at most FEW_EDGES edges with the smallest node it reaches, in one task."""
+    columns = edges.schema["id"].dataType
+    struct = columns.names if isinstance(columns, T.StructType) else None
+    flat = [F.col(f"{side}.{name}") for side in ("id", "neighbour_id") for name in struct] if struct else [F.col("id"), F.col("neighbour_id")]
+    fields = columns.fields if struct else [T.StructField("id", columns)]
+    width = len(fields)
+    schema = T.StructType([T.StructField(f"{side}{n}", f.dataType) for side in ("u", "v") for n, f in enumerate(fields)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def find(v):
+            parent.setdefault(v, v)
+            while parent[v] != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                u, v = find(tuple(row[:width])), find(tuple(row[width:]))
+                if u != v:
+                    parent[max(u, v)] = min(u, v)  # the root stays the smallest
+        if parent:
+            yield pd.DataFrame([v + find(v) for v in list(parent)], columns=schema.names)
+
+    numbered = [c.alias(n) for c, n in zip(flat, schema.names, strict=True)]
+    found = edges.select(*numbered).coalesce(1).mapInPandas(run, schema)
+    back = lambda side: F.struct(*[F.col(f"{side}{n}").alias(f.name) for n, f in enumerate(fields)]) if struct else F.col(f"{side}0")
+    return found.select(back("u").alias("id"), back("v").alias("neighbour_id"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("neighbour_id").alias("id"), F.col("id").alias("neighbour_id")))

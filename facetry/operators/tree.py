@@ -9,12 +9,14 @@ joined become one.  Edges are ordered by weight and ends, so there are no ties.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.operators import cluster
 from facetry.operators import neighbours as nb
 from facetry.operators.cluster import connected_components, core_distance
 from facetry.runtime import reliable
@@ -77,7 +79,10 @@ def least_tree(edges: DataFrame) -> DataFrame:
     weight = F.struct("reach", "id", "neighbour_id")
     left = reliable(edges.select(weight.alias("e"), F.col("id").alias("a"), F.col("neighbour_id").alias("b")))
     taken = None
-    while left.head(1):
+    while rest := left.count():
+        if rest <= cluster.FEW_EDGES:
+            last = _few_forest(left)
+            return reliable((last if taken is None else taken.select("e.id", "e.neighbour_id", "e.reach").unionByName(last)))
         both = left.select("e", "a", "b").unionByName(left.select("e", F.col("b").alias("a"), F.col("a").alias("b")))
         best = reliable(both.groupBy("a").agg(F.min(F.struct("e", "b")).alias("m")).select("a", F.col("m.e").alias("e"), F.col("m.b").alias("b")))
         new = best.select("e").distinct()
@@ -96,6 +101,26 @@ def least_tree(edges: DataFrame) -> DataFrame:
     return reliable(taken.select("e.id", "e.neighbour_id", "e.reach"))
 
 
+def _few_forest(left: DataFrame) -> DataFrame:
+    """Least forest of the at most FEW_EDGES edges (e, a, b) that are left between parts, in one task."""
+    kind = left.schema["e"].dataType["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        pdf = pd.concat(held, ignore_index=True) if held else None
+        if pdf is None or not len(pdf):
+            return
+        n = len(pdf)
+        _, ends = np.unique(np.concatenate((pdf["id"].to_numpy(), pdf["neighbour_id"].to_numpy())), return_inverse=True)
+        names, parts = np.unique(np.concatenate((pdf["a"].to_numpy(), pdf["b"].to_numpy())), return_inverse=True)
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((ends[n:], ends[:n], pdf["reach"].to_numpy()))] = np.arange(n)
+        kept = least_forest(parts[:n], parts[n:], rank, len(names))
+        yield pdf.iloc[kept][["id", "neighbour_id", "reach"]]
+
+    return left.select("e.id", "e.neighbour_id", "e.reach", "a", "b").coalesce(1).mapInPandas(run, f"id {kind}, neighbour_id {kind}, reach double")
+
+
 def _jumped(parent: DataFrame) -> DataFrame:
     """Every part's root, by looking up the parent's parent until nothing changes."""
     while True:
