@@ -20,6 +20,8 @@ FREQUENT = 1 << 18
 BLOCK = 512
 #: Buckets up to this size are first sifted in a tree of prefixes alone; larger ones go to the blocks as they are.
 COARSE = 4096
+#: Rows of sets that are unpacked at once.
+UNPACKED = 512
 
 
 def prefix_size(n: int | np.ndarray):
@@ -300,8 +302,7 @@ def _buckets(result):
     """Rows come sorted by bucket; one bucket is held at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {"sid": [], "n": [], "rare": [], "frequent": [], "root": []}
-        for batch in batches:
-            rows = batch.to_pydict()
+        for rows in (batch.slice(at, UNPACKED).to_pydict() for batch in batches for at in range(0, batch.num_rows, UNPACKED)):
             for i, at in enumerate(zip(rows["hub"], rows["block"], rows["other"], strict=True)):
                 if at != key:
                     if len(held["sid"]) > 1:

@@ -17,6 +17,8 @@ LENGTH = np.array([n * 0xE7037ED1A0B428DB % (1 << 64) for n in range(6)], np.uin
 #: A-Z to a-z; the six blanks of the contract.
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: Bytes of text that are hashed at once: hashing takes about 40 bytes a byte.
+HASHED = 1 << 20
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +51,22 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct 5-word shingle hashes of each text; shorter texts are one shingle, texts without words none."""
+    return [own for part in _parts(texts) for own in _shingles(part)]
+
+
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of the texts of about ``HASHED`` bytes; a longer text is one."""
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + HASHED, "right")) - 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def _shingles(texts: pa.Array) -> list[np.ndarray]:
     flat, sizes = word_hashes(texts)
     ends = np.cumsum(sizes)
     full = np.zeros(max(0, len(flat) - 4), np.uint64)

@@ -22,6 +22,10 @@ CATEGORIES = ("low_quality", "toxic")
 #: At most this many labelled rows, the least by a hash of their id, are learned from.
 SAMPLE = 12_000
 FOLDS = 3
+#: Words whose numbers a task keeps.
+KEPT_WORDS = 1 << 18
+#: Entries of the sample that are counted at once.
+SLICE = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -29,14 +33,17 @@ class Words(dict):
     """Feature numbers of every word met: the word itself and its beginnings."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
-        whole = xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
-        parts = (xxhash.xxh3_64_intdigest(word[:n], seed=n) & ((1 << BITS) - 1) for n in BEGINNINGS if len(word) >= n)
-        value = self[word] = (whole, *parts)
+        value = self[word] = numbers(word)
         return value
 
 
+def numbers(word: bytes) -> tuple[int, ...]:
+    whole = xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
+    return whole, *(xxhash.xxh3_64_intdigest(word[:n], seed=n) & ((1 << BITS) - 1) for n in BEGINNINGS if len(word) >= n)
+
+
 def distinct_words(text: str | None) -> set[bytes]:
     """Distinct words of the whole text: runs of letters, digits and bytes beyond ASCII, A-Z in lower case."""
     return set(text.encode().translate(_FOLD).split()) if text else set()
@@ -77,15 +84,20 @@ def fit(row_of: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndar
     once = np.ones(len(feature), bool)  # features are sorted within a row
     once[1:] = (feature[1:] != feature[:-1]) | (row_of[1:] != row_of[:-1])
     at, what = row_of[once], feature[once]
-    yes, no = np.bincount(what, y[at], size), np.bincount(what, 1 - y[at], size)
+    yes, no = np.zeros(size), np.zeros(size)
+    for i in range(0, len(what), SLICE):
+        positive = y[at[i:i + SLICE]]
+        yes += np.bincount(what[i:i + SLICE], positive, size)
+        no += np.bincount(what[i:i + SLICE], 1 - positive, size)
+    del once, at, what
     odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / (n - y.sum() + 1))
     errors = np.abs(odds) / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
     errors[yes + no < 2] = 0.0
     used = np.nonzero(errors >= sure)[0]
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[feature] >= 0
-    r, f = row_of[keep], place[feature[keep]]
+    keep = (place >= 0)[feature]
+    r, f = row_of[keep].astype(np.int64), place[feature[keep]].astype(np.int64)
     k, m = len(used), earlier.shape[1]
     x = odds[used][f]
     # columns: sum of a row's scaled features each, earlier probabilities, intercept
@@ -121,11 +133,11 @@ def fit_chain(row_of: np.ndarray, feature: np.ndarray, labels: np.ndarray, fold:
         outside = np.zeros(n)
         for k in range(FOLDS):
             learn = fold != k
-            number = np.cumsum(learn) - 1
+            number = np.cumsum(learn, dtype=np.int32) - 1
             mine = learn[row_of]
             model = fit(number[row_of[mine]], feature[mine], earlier[learn], y[learn])
             test = ~learn
-            number = np.cumsum(test) - 1
+            number = np.cumsum(test, dtype=np.int32) - 1
             theirs = test[row_of]
             outside[test] = sigmoid(model.margin(number[row_of[theirs]], feature[theirs], earlier[test]))
         models.append(fit(row_of, feature, earlier, y))
@@ -156,11 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         table = pa.Table.from_batches(held) if held else None
         if table is not None:
             table = table.sort_by("doc_id")
-        parts = [np.frombuffer(x, np.int32) for x in table.column("features").to_pylist()] if table is not None else []
-        feature = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        row_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
+        parts = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("features")] if table is not None else []
+        feature = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        row_of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]) if parts else np.zeros(0, np.int32)
         y = np.column_stack([table.column(c).to_numpy() for c in CATEGORIES]) if parts else np.zeros((0, len(CATEGORIES)))
         fold = np.array([xxhash.xxh3_64_intdigest(str(d)) % FOLDS for d in table.column("doc_id").to_pylist()]) if parts else np.zeros(0, np.int64)
+        del held, table, parts  # the arrays hold all there is to learn from
         models, cuts = fit_chain(row_of, feature, y, fold)
         for c, (model, cut) in enumerate(zip(models, cuts, strict=True)):
             used = np.nonzero(model.weights)[0]
@@ -183,12 +196,12 @@ class Margins(dict):
 
     def __init__(self, models: list[Linear]):
         super().__init__()
-        self.models, self.features = models, Words()
+        self.models = models
 
     def __missing__(self, word: bytes) -> tuple[float, ...]:
-        if len(self) > 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
-        f = list(self.features[word])
+        f = list(numbers(word))
         value = self[word] = tuple(float(m.weights[f].sum()) for m in self.models)
         return value
 
