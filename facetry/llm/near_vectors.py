@@ -119,21 +119,31 @@ def _placed(cosine: float, coordinates: int, kind: str, whole: bool):
 
 
 class _Side:
-    """Vectors of one chunk with the block's coordinates in single precision."""
+    """Vectors of one chunk in the order of one of the block's coordinates, ``along``, with all of them in single precision."""
 
     def __init__(self, key, weight, x, rotated, part):
-        self.key, self.weight, self.x = key, weight, x
-        self.part = rotated[:, part].astype(np.float32)
-        self.square = np.einsum("ij,ij->i", self.part, self.part)
+        own = rotated[:, part]
+        by = np.argsort(own[:, -1], kind="stable")
+        self.key, self.weight, self.x = key[by], weight[by], x[by]
+        self.along = own[by, -1]
+        part = own[by].astype(np.float32)
+        square, one = np.einsum("ij,ij->i", part, part)[:, None], np.ones((len(part), 1), np.float32)
+        #: the product of a row of one with a row of the other is their squared distance
+        self.left, self.right = np.hstack((part, square, one)), np.hstack((-2 * part, one, square))
 
 
 def _close(a: _Side, b: _Side, limit: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within the block's budget, a tile at a time."""
+    """Pairs within the block's budget, a tile at a time; a tile meets what lies within the radius along the order."""
+    reach = math.sqrt(limit) + SLACK
     for at in range(0, len(a.key), TILE):
-        rows = slice(at, at + TILE)
-        far = a.square[rows, None] + b.square[None, :] - 2 * (a.part[rows] @ b.part.T)
-        i, j = np.nonzero(far <= limit)
-        i += at
+        end = min(at + TILE, len(a.key))
+        low = at if same else int(np.searchsorted(b.along, a.along[at] - reach))
+        high = int(np.searchsorted(b.along, a.along[end - 1] + reach, "right"))
+        if low >= high:
+            continue
+        far = a.left[at:end] @ b.right[low:high].T
+        i, j = np.divmod(np.flatnonzero(far <= limit), high - low)
+        i, j = i + at, j + low
         if same:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 100_000):
@@ -146,8 +156,7 @@ def _joined(cosine: float, kind: str, block: int, first: list, second: list | No
         key, weight, home, vector = rows
         x = unit(np.frombuffer(b"".join(vector), kind).reshape(-1, size))
         rotated = x @ turn
-        home = np.array(home)
-        pick = lambda m: _Side(np.array(key)[m], np.array(weight)[m], x[m], rotated[m], parts[block])
+        pick = lambda m: _Side(key[m], weight[m], x[m], rotated[m], parts[block])
         return pick(home), pick(~home)
 
     size = len(first[3][0]) // np.dtype(kind).itemsize
@@ -207,25 +216,32 @@ def _hang(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 def _cells(cosine: float, kind: str):
     """Rows sorted by block, cell and pair of chunks; one pair is held at a time."""
     def emit(at, held):
-        first = [list(x) for x in zip(*(r[1:] for r in held if r[0]), strict=True)]
-        second = [list(x) for x in zip(*(r[1:] for r in held if not r[0]), strict=True)]
+        rows = pa.Table.from_batches(held)
+        key, weight, home, is_one = (rows.column(c).to_numpy() for c in ("key", "weight", "home", "is_one"))
         alone = at[2] == at[3]
-        if not first or not (alone or second):
+        if not is_one.any() or not (alone or not is_one.all()):
             return
-        for key, total, root in _joined(cosine, kind, at[0], first, None if alone else second):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total), pa.array(root)], ["key", "links", "root"])
+        vector = rows.column("vector")
+        side = lambda m: (key[m], weight[m], home[m], vector.filter(pa.array(m)).to_pylist())
+        for names, total, root in _joined(cosine, kind, at[0], side(is_one), None if alone else side(~is_one)):
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array(root)], ["key", "links", "root"])
 
     def run(batches):
-        at, held = None, []
+        at, held, count = None, [], 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "cell", "one", "two", "is_one", "key", "weight", "home", "vector")]
-            for row in zip(*columns, strict=True):
-                if row[:4] != at:
-                    if len(held) > 1:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("block", "cell", "one", "two")])
+            cuts = [0, *(np.nonzero((names[:, 1:] != names[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
+            for low, high in itertools.pairwise(cuts):
+                now = tuple(names[:, low].tolist())
+                if now != at:
+                    if count > 1:
                         yield from emit(at, held)
-                    at, held = row[:4], []
-                held.append(row[4:])
-        if len(held) > 1:
+                    at, held, count = now, [], 0
+                held.append(batch.slice(low, high - low))
+                count += high - low
+        if count > 1:
             yield from emit(at, held)
     return run
 

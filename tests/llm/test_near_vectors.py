@@ -82,3 +82,22 @@ def test_blocks_cover_all_coordinates_and_budgets_add_up():
         assert math.isclose(sum(nv.budget(0.95, p.stop - p.start, size) for p in parts), 0.1)
         turn = nv.rotation(size)
         assert np.allclose(turn @ turn.T, np.eye(size))
+
+
+def test_a_tile_meets_only_what_is_near_it_in_order(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = nv.unit(rng.standard_normal((700, 16)))
+    side = nv._Side(np.arange(700), np.ones(700, int), x, x, slice(0, 8))
+    other = nv._Side(np.arange(300), np.ones(300, int), x[:300] + 0.01, x[:300] + 0.01, slice(0, 8))
+    monkeypatch.setattr(nv, "TILE", 50)
+    met = []
+    plain = np.flatnonzero
+    monkeypatch.setattr(nv.np, "flatnonzero", lambda m: (met.append(m.size), plain(m))[1])
+    for limit in (0.02, 0.2):
+        for a, b, same in ((side, side, True), (side, other, False)):
+            met.clear()
+            got = sorted((int(a.key[i]), int(b.key[j])) for u, v in nv._close(a, b, limit, same) for i, j in zip(u, v, strict=True))
+            far = ((a.left[:, None, :8] - b.left[None, :, :8]).astype(float) ** 2).sum(2)
+            i, j = np.nonzero(far <= limit)
+            assert got == sorted((int(a.key[p]), int(b.key[q])) for p, q in zip(i, j, strict=True) if not same or p < q)
+            assert limit > 0.1 or sum(met) < 0.75 * len(a.key) * len(b.key)
