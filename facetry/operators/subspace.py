@@ -74,11 +74,14 @@ def _sums(rows: DataFrame, work, features: int, width: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["part"], float).reshape(-1, width) for r in got]) if got else np.zeros((features, width))
 
 
+def _added(to, weight, come, values, n) -> np.ndarray:
+    """n rows: the weighted rows ``come`` of ``values``, added up by ``to``, a column at a time."""
+    return np.stack([np.bincount(to, weight * column[come], n) for column in np.ascontiguousarray(values.T)], axis=1)
+
+
 def _product(row, at, weight, n, basis) -> np.ndarray:
     """Coordinates of the rows on the basis, before centring."""
-    out = np.zeros((n, basis.shape[1]))
-    np.add.at(out, row, weight[:, None] * basis[at])
-    return out
+    return _added(row, weight, at, basis, n)
 
 
 def principal_axes(rows: DataFrame, features: int, k: int, tolerance: float = 1e-4, rounds: int = 60, extra: int = 8, seed: int = 42) -> Axes:
@@ -104,9 +107,7 @@ def principal_axes(rows: DataFrame, features: int, k: int, tolerance: float = 1e
 
         def step(row, at, weight, n):
             y = _product(row, at, weight, n, now) - shift
-            out = np.zeros((features, width))
-            np.add.at(out, at, weight[:, None] * y[row])
-            return out - mean[:, None] * y.sum(0)
+            return _added(at, weight, row, y, features) - mean[:, None] * y.sum(0)
         moved = _sums(rows, step, features, width) / max(1, count)
         # the best axes inside the subspace, and what the covariance moves out of it
         values, turn = np.linalg.eigh((basis.T @ moved + moved.T @ basis) / 2)

@@ -64,3 +64,12 @@ def test_structure_tells_how_far_it_came(spark):
     assert rows[0]["residual"] <= 1e-4 < loose
     signs = {r["entity_id"]: r["embedding"][0] > 0 for r in rows}
     assert len({signs[i] for i in range(12)}) == 1 and signs[0] != signs[12]
+
+
+def test_sums_by_columns_equal_sums_by_rows(monkeypatch):
+    rng = np.random.default_rng(1)
+    row, at, weight, values = rng.integers(0, 50, 4000), rng.integers(0, 30, 4000), rng.uniform(size=4000), rng.standard_normal((30, 5))
+    want = np.zeros((50, 5))
+    np.add.at(want, row, weight[:, None] * values[at])
+    monkeypatch.setattr(subspace.np, "add", None)  # no element at a time
+    assert (subspace._product(row, at, weight, 50, values) == want).all()
