@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions.scores import TIE, is_filler_tol, raw_variant, variant_number
 from facetry.operators.ordering import top_k_per_group, with_position
-from facetry.runtime import scalar
+from facetry.runtime import reliable, scalar
 
 KEY = ["entity_id", "kind", "feature"]
 
@@ -213,11 +213,12 @@ def neighbour_contrast(profile: DataFrame, neighbours: DataFrame, top: int = 8,
                        keep: int = 5, kind: str = "ing") -> DataFrame:
     """An entity's best features that stand out against the mean of its neighbours (absent = 0)."""
     rows = profile.where(F.col("kind") == kind)
-    own = top_k_per_group(rows, ["entity_id"], top, F.desc("score"), F.col("feature"), name="_own")
+    own = reliable(top_k_per_group(rows, ["entity_id"], top, F.desc("score"), F.col("feature"), name="_own"))
     sizes = neighbours.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_k"))
+    # only what is compared: ``top`` features of each neighbour, however many it has
     around = (
-        neighbours.select("entity_id", "neighbour_id")
-        .join(rows.select(F.col("entity_id").alias("neighbour_id"), "feature", F.col("score").alias("_s")), "neighbour_id")
+        neighbours.select("entity_id", "neighbour_id").join(own.select("entity_id", "feature"), "entity_id")
+        .join(rows.select(F.col("entity_id").alias("neighbour_id"), "feature", F.col("score").alias("_s")), ["neighbour_id", "feature"])
         .groupBy("entity_id", "feature").agg(F.sum("_s").alias("_sum"))
     )
     diff = F.col("score") - F.coalesce(F.col("_sum"), F.lit(0.0)) / F.coalesce(F.col("_k"), F.lit(1))
