@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetry.runtime import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x * y)
@@ -17,8 +19,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Unit vector, the norm floored at 1e-8."""
-    length = F.greatest(norm(a), F.lit(1e-8))
-    return F.transform(a, lambda v: v / length)
+    # inside the lambda the length would be taken again for every component
+    return let(F.greatest(norm(a), F.lit(1e-8)), lambda length: F.transform(a, lambda v: v / length))
 
 
 def cosine_dense(a: Column, b: Column) -> Column:

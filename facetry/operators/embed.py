@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,9 @@ from facetry.operators import neighbours as nb
 from facetry.operators.profiles import min_support
 from facetry.runtime import reliable, scalar
 
+#: Numbers of a batch of dense vectors.
+CELLS = 1 << 20
+
 
 def matrix_literal(rows: np.ndarray) -> Column:
     """A small matrix (axes x dimensions) as an ``array<array<double>>`` constant."""
@@ -34,18 +37,37 @@ def principal_axes(vectors: DataFrame, k: int, vector_col: str = "vector") -> np
     return axes * np.where(axes[np.arange(len(axes)), peak] < 0, -1.0, 1.0)[:, None]
 
 
-def mean_vector(vectors: DataFrame, vector_col: str = "vector") -> Column:
-    """Mean per position as one array scalar, summed per position across tasks."""
+def mean_vector(vectors: DataFrame, vector_col: str = "vector") -> np.ndarray:
+    """Mean per position, summed per position across tasks; one number a position reaches the driver."""
     cells = vectors.select(F.posexplode(F.col(vector_col).cast("array<double>")).alias("dim", "x"))
-    means = cells.groupBy("dim").agg(F.avg("x").alias("mu"))
-    return scalar(means, F.transform(F.array_sort(F.collect_list(F.struct("dim", "mu"))), lambda s: s["mu"]))
+    means = cells.groupBy("dim").agg(F.avg("x").alias("mu")).orderBy("dim").collect()
+    return np.array([r["mu"] if r["mu"] is not None else np.nan for r in means])
 
 
 def project(vectors: DataFrame, axes: np.ndarray, out_col: str, vector_col: str = "vector") -> DataFrame:
-    """Centred coordinates on the given axes."""
-    centred = F.zip_with(F.col(vector_col).cast("array<double>"), F.col("_mu"), lambda a, m: a - m)
-    return vectors.withColumn("_mu", mean_vector(vectors, vector_col)).withColumn("_centred", centred).withColumn(
-        out_col, F.transform(matrix_literal(axes), lambda axis: V.dot(F.col("_centred"), axis))).drop("_centred", "_mu")
+    """Centred coordinates on the given axes; without a whole vector (null, of other length, with a null) they are null."""
+    mean = mean_vector(vectors, vector_col)
+    shared = vectors.sparkSession.sparkContext.broadcast((mean, np.ascontiguousarray(axes.T)))
+
+    @F.arrow_udf("array<double>")
+    def coordinates(x: pa.Array) -> pa.Array:
+        mu, columns = shared.value
+        sizes = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = x.flatten()
+        whole = sizes == len(mu)
+        if flat.null_count:
+            holes = np.bincount(np.repeat(np.arange(len(x)), sizes), flat.is_null().to_numpy(zero_copy_only=False), len(x))
+            whole &= holes == 0
+        values = flat.to_numpy(zero_copy_only=False)[np.repeat(whole, sizes)].reshape(int(whole.sum()), len(mu))
+        found = np.zeros((len(values), columns.shape[1]))
+        for dim, axis in enumerate(columns):  # summed in the order of the positions
+            found += (values[:, dim] - mu[dim])[:, None] * axis
+        out = np.zeros((len(x), columns.shape[1]))
+        out[whole] = found
+        gone = np.repeat(~whole, columns.shape[1])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * columns.shape[1]), pa.array(out.ravel(), mask=gone))
+
+    return vectors.withColumn(out_col, coordinates(F.col(vector_col).cast("array<double>")))
 
 
 def dense_profile(profile: DataFrame, support: int = 1) -> DataFrame:
@@ -53,11 +75,29 @@ def dense_profile(profile: DataFrame, support: int = 1) -> DataFrame:
     catalog = min_support(profile, support)
     width = scalar(catalog, F.count(F.lit(1)))
     cells = profile.join(catalog.select("kind", "feature", "feature_index"), ["kind", "feature"])
-    maps = cells.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("feature_index").cast("int").alias("i"), F.col("score").cast("double").alias("s")))).alias("_m"))
-    spread = F.transform(F.sequence(F.lit(0), F.col("_width") - 1),
-                         lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return maps.withColumn("_width", width.cast("int")).select("entity_id", spread.alias("vector"))
+    lists = cells.groupBy("entity_id").agg(F.collect_list(F.struct(
+        F.col("feature_index").cast("int").alias("i"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))).alias("_c"))
+    kind = profile.schema["entity_id"].dataType.simpleString()
+    rows = lists.select("entity_id", F.col("_c.i").alias("at"), F.col("_c.s").alias("score"), width.alias("width"))
+    return rows.mapInArrow(_spread, f"entity_id {kind}, vector array<double>")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores laid out by the indices of their features, zeros elsewhere."""
+    for batch in batches:
+        width = batch.column("width")[0].as_py() if batch.num_rows else 0
+        step = max(1, CELLS // max(1, width))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            n = part.num_rows
+            row = np.repeat(np.arange(n), part.column("at").value_lengths().to_numpy(zero_copy_only=False))
+            place = row * width + part.column("at").flatten().to_numpy()
+            if len(np.unique(place)) < len(place):
+                raise ValueError("an entity has a feature twice")
+            out = np.zeros(n * width)
+            out[place] = part.column("score").flatten().to_numpy()
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([part.column("entity_id"), pa.ListArray.from_arrays(ends, pa.array(out))], ["entity_id", "vector"])
 
 
 def pca_scores(vectors: DataFrame, k: int = 3, out_col: str = "scores", vector_col: str = "vector") -> tuple[DataFrame, np.ndarray]:

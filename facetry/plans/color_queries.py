@@ -302,7 +302,7 @@ def kmeans_families(spark, sf):
     profile = reliable(profiles.idf_weight(profiles.l1_normalize(B.customer_profile(spark, sf))))
     vectors = reliable(embed.dense_profile(profile, 5))
     colored, _ = embed.color_embed(vectors)
-    rows = reliable(calibrate.sphere_coords(embed.pca_embed(colored, 12)))
+    rows = reliable(calibrate.sphere_coords(embed.pca_embed(colored, 12).drop("vector")))  # later steps take the coordinates
     cal = reliable(calibrate.calibrate_colors(rows))
     normed = calibrate.axis_norms(rows, cal).join(B.customers(spark, sf).select("entity_id", "supergroup"), "entity_id")
     return tidy(insights.families(reliable(normed), profile, cal))
