@@ -42,15 +42,21 @@ def uniform(key: np.ndarray, seed: int, step: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows to all centres."""
-    return np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * (x @ centres.T), 0.0)
+def squares(x: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)
 
 
-def drawn(key: np.ndarray, x: np.ndarray, centres: np.ndarray, seed: int, step: int) -> tuple[float, np.ndarray] | None:
+def gaps(x: np.ndarray, centres: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of all rows to all centres; ``own``: the rows' squares, taken once for all restarts."""
+    own = squares(x) if own is None else own
+    return np.maximum(own[:, None] + (centres * centres).sum(1)[None, :] - 2 * (x @ centres.T), 0.0)
+
+
+def drawn(key: np.ndarray, x: np.ndarray, centres: np.ndarray, seed: int, step: int, own: np.ndarray | None = None) -> tuple[float, np.ndarray] | None:
     """(draw, row) of the best row: the greatest draw of all rows is the next centre.  None where every row is a centre."""
-    weight = gaps(x, centres).min(1) if len(centres) else np.ones(len(x))
-    weight[weight <= 1e-12 * max(1.0, float((x * x).sum(1).max(initial=0.0)))] = 0.0
+    own = squares(x) if own is None else own
+    weight = gaps(x, centres, own).min(1) if len(centres) else np.ones(len(x))
+    weight[weight <= 1e-12 * max(1.0, float(own.max(initial=0.0)))] = 0.0
     if not weight.any():
         return None
     with np.errstate(divide="ignore"):
@@ -59,9 +65,9 @@ def drawn(key: np.ndarray, x: np.ndarray, centres: np.ndarray, seed: int, step:
     return float(draw[at]), x[at]
 
 
-def sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def sums(x: np.ndarray, centres: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
     """Per centre: sum and number of its rows and their squared distances, k x (d + 2)."""
-    far = gaps(x, centres)
+    far = gaps(x, centres, own)
     label = far.argmin(1)
     one = np.zeros((len(centres), len(x)))
     one[label, np.arange(len(x))] = 1.0
@@ -103,7 +109,8 @@ def _first_centres(packed: DataFrame, k: int, seeds: list[int], width: int) -> n
         now = centres
 
         def work(key, x):
-            rows = [drawn(key, x, now[r], seed, step) for r, seed in enumerate(seeds)]
+            own = squares(x)
+            rows = [drawn(key, x, now[r], seed, step, own) for r, seed in enumerate(seeds)]
             return np.stack([np.concatenate(([d[0]], d[1])) if d else np.concatenate(([-np.inf], np.zeros(width))) for d in rows]).tobytes()
 
         def join(parts):
@@ -136,7 +143,12 @@ def best_centres(vectors: DataFrame, k: int, seed: int, restarts: int, rounds: i
     moving = list(range(restarts))
     for _ in range(rounds):
         now = centres[moving]
-        found = np.frombuffer(_pass(packed, lambda key, x: np.stack([sums(x, c) for c in now]).tobytes(), width, add), float).reshape(len(moving), k, width + 2)
+
+        def work(key, x):
+            own = squares(x)
+            return np.stack([sums(x, c, own) for c in now]).tobytes()
+
+        found = np.frombuffer(_pass(packed, work, width, add), float).reshape(len(moving), k, width + 2)
         still = []
         for r, f in zip(moving, found, strict=True):
             new = moved(centres[r], f)
@@ -146,7 +158,12 @@ def best_centres(vectors: DataFrame, k: int, seed: int, restarts: int, rounds: i
         moving = still
         if not moving:
             break
-    cost = np.frombuffer(_pass(packed, lambda key, x: np.array([gaps(x, c).min(1).sum() for c in centres]).tobytes(), width, add), float)
+
+    def costs(key, x):
+        own = squares(x)
+        return np.array([gaps(x, c, own).min(1).sum() for c in centres]).tobytes()
+
+    cost = np.frombuffer(_pass(packed, costs, width, add), float)
     return centres[int(cost.argmin())]
 
 
