@@ -20,6 +20,8 @@ from facetry.runtime import reliable
 
 #: Rows of a packed matrix.
 PACK = 4096
+#: Centres that are multiplied with a packed matrix at once.
+COLUMNS = 256
 #: Partial results that go to the driver as they are; more are added up in tasks first.
 DIRECT = 64
 
@@ -52,10 +54,13 @@ def gaps(x: np.ndarray, centres: np.ndarray, own: np.ndarray | None = None) -> n
     return np.maximum(own[:, None] + (centres * centres).sum(1)[None, :] - 2 * (x @ centres.T), 0.0)
 
 
-def drawn(key: np.ndarray, x: np.ndarray, centres: np.ndarray, seed: int, step: int, own: np.ndarray | None = None) -> tuple[float, np.ndarray] | None:
+def drawn(key: np.ndarray, x: np.ndarray, centres: np.ndarray, seed: int, step: int, own: np.ndarray | None = None,
+          far: np.ndarray | None = None) -> tuple[float, np.ndarray] | None:
     """(draw, row) of the best row: the greatest draw of all rows is the next centre.  None where every row is a centre."""
     own = squares(x) if own is None else own
-    weight = gaps(x, centres, own).min(1) if len(centres) else np.ones(len(x))
+    if far is None and len(centres):
+        far = gaps(x, centres, own).min(1)
+    weight = np.ones(len(x)) if far is None else far
     weight[weight <= 1e-12 * max(1.0, float(own.max(initial=0.0)))] = 0.0
     if not weight.any():
         return None
@@ -65,13 +70,29 @@ def drawn(key: np.ndarray, x: np.ndarray, centres: np.ndarray, seed: int, step:
     return float(draw[at]), x[at]
 
 
-def sums(x: np.ndarray, centres: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-    """Per centre: sum and number of its rows and their squared distances, k x (d + 2)."""
-    far = gaps(x, centres, own)
-    label = far.argmin(1)
-    one = np.zeros((len(centres), len(x)))
-    one[label, np.arange(len(x))] = 1.0
-    return np.column_stack((one @ x, one.sum(1), one @ far[np.arange(len(x)), label]))
+def together(x: np.ndarray, centres: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(centres, squared distances as restarts x k x rows) of some restarts at once: one product for up to COLUMNS centres."""
+    k, width = centres.shape[1:]
+    some = max(1, COLUMNS // max(1, k))
+    for at in range(0, len(centres), some):
+        part = centres[at:at + some]
+        flat = part.reshape(-1, width)
+        yield part, np.maximum(own[None, :] + (flat * flat).sum(1)[:, None] - 2 * (flat @ x.T), 0.0).reshape(len(part), k, len(x))
+
+
+def sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per restart and centre: sum and number of its rows and their squared distances, restarts x k x (d + 2)."""
+    found = []
+    for part, far in together(x, centres, squares(x)):
+        restarts, k, width = part.shape
+        label = far.argmin(1)
+        one = np.zeros((restarts, k, len(x)))
+        np.put_along_axis(one, label[:, None, :], 1.0, axis=1)
+        near = far.min(1)
+        cost = np.stack([np.bincount(c, n, k) for c, n in zip(label, near, strict=True)])
+        total = (one.reshape(-1, len(x)) @ x).reshape(restarts, k, width)
+        found.append(np.concatenate((total, one.sum(2)[:, :, None], cost[:, :, None]), axis=2))
+    return np.concatenate(found)
 
 
 def _each(work: Callable[[np.ndarray, np.ndarray], bytes | None], width: int, join: Callable[[list[bytes]], bytes]):
@@ -110,7 +131,8 @@ def _first_centres(packed: DataFrame, k: int, seeds: list[int], width: int) -> n
 
         def work(key, x):
             own = squares(x)
-            rows = [drawn(key, x, now[r], seed, step, own) for r, seed in enumerate(seeds)]
+            far = np.concatenate([gap.min(1) for _, gap in together(x, now, own)]) if step else [None] * len(seeds)
+            rows = [drawn(key, x, now[r], seed, step, own, far[r]) for r, seed in enumerate(seeds)]
             return np.stack([np.concatenate(([d[0]], d[1])) if d else np.concatenate(([-np.inf], np.zeros(width))) for d in rows]).tobytes()
 
         def join(parts):
@@ -143,12 +165,7 @@ def best_centres(vectors: DataFrame, k: int, seed: int, restarts: int, rounds: i
     moving = list(range(restarts))
     for _ in range(rounds):
         now = centres[moving]
-
-        def work(key, x):
-            own = squares(x)
-            return np.stack([sums(x, c, own) for c in now]).tobytes()
-
-        found = np.frombuffer(_pass(packed, work, width, add), float).reshape(len(moving), k, width + 2)
+        found = np.frombuffer(_pass(packed, lambda key, x: sums(x, now).tobytes(), width, add), float).reshape(len(moving), k, width + 2)
         still = []
         for r, f in zip(moving, found, strict=True):
             new = moved(centres[r], f)
@@ -160,8 +177,7 @@ def best_centres(vectors: DataFrame, k: int, seed: int, restarts: int, rounds: i
             break
 
     def costs(key, x):
-        own = squares(x)
-        return np.array([gaps(x, c, own).min(1).sum() for c in centres]).tobytes()
+        return np.concatenate([gap.min(1).sum(1) for _, gap in together(x, centres, squares(x))]).tobytes()
 
     cost = np.frombuffer(_pass(packed, costs, width, add), float)
     return centres[int(cost.argmin())]

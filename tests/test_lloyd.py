@@ -56,3 +56,17 @@ def test_null_vectors_and_empty_tables(spark):
     assert {r["entity_id"]: r["label"] for r in cluster.kmeans(rows, 2).collect()} == {1: 0, 4: 0, 3: 1, 2: -1}
     assert cluster.kmeans(rows.where("entity_id = 2"), 2).head()["label"] == -1
     assert cluster.kmeans(rows.limit(0), 2).collect() == []
+
+
+def test_restarts_share_a_product(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, centres = rng.standard_normal((300, 6)), rng.standard_normal((5, 4, 6))
+    for columns in (256, 9, 1):
+        monkeypatch.setattr(lloyd, "COLUMNS", columns)
+        assert len(list(lloyd.together(x, centres, lloyd.squares(x)))) == -(-5 // max(1, columns // 4))
+        got = lloyd.sums(x, centres)
+        for r, c in enumerate(centres):
+            far = ((x[:, None, :] - c[None]) ** 2).sum(2)
+            label = far.argmin(1)
+            want = np.array([[*x[label == i].sum(0), (label == i).sum(), far[label == i, i].sum()] for i in range(4)])
+            np.testing.assert_allclose(got[r], want, rtol=1e-10, atol=1e-10)
