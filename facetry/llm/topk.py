@@ -13,6 +13,8 @@ from facetry.llm.common import arrays, stored
 
 PACKED = "node int, pack long, n int, width int, ids binary, parts binary"
 PARTIAL = "query long, object long, node int, score long"
+#: Keys that a node's packs are spread over; query packs are copied once a key, so they move in proportion to their number.
+GROUPS = 64
 
 
 def integer_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -103,11 +105,14 @@ def _with_cuts(packs: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def _meet(packs: DataFrame, asked: DataFrame, groups: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Every pack of objects beside every pack of queries of the same node, spread over ``groups`` keys."""
+    """Every pack of objects beside every pack of queries of the same node, spread over ``groups`` keys.
+
+    Both sides are shuffled: Spark sizes the query packs by their file, without the copy a key, and would send all copies to the driver.
+    """
     left = packs.withColumn("cell", F.pmod(F.xxhash64("pack"), F.lit(groups)))
     right = asked.select("node", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("parts").alias("qparts"), *extra,
                          F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"))
-    return left.join(right.withColumn("cell", F.col("cell").cast("bigint")), ["node", "cell"])
+    return left.join(right.withColumn("cell", F.col("cell").cast("bigint")).hint("merge"), ["node", "cell"])
 
 
 def top_k(rows: DataFrame, is_query, k: int = 10, nodes: int = 2, per_pack: int = 4096, salts: int = 64) -> DataFrame:
@@ -136,7 +141,7 @@ def top_k(rows: DataFrame, is_query, k: int = 10, nodes: int = 2, per_pack: int
     objects = stored(kept.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("x").alias("id"), "x", "ids"), "topk-objects")
     queries = stored(once.where(is_query).select(F.xxhash64("x").alias("id"), "vec_id", "x"), "topk-queries")
     size = objects.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("w")).first()
-    groups, width = max(1, min(1024, size["n"] // per_pack)), max(nodes, size["w"])
+    groups, width = max(1, min(GROUPS, size["n"] // per_pack)), max(nodes, size["w"])
 
     def packed(df: DataFrame, parts: int) -> DataFrame:
         return df.repartition(max(1, parts), "id").mapInArrow(_pack(width, nodes, per_pack), PACKED)
