@@ -5,6 +5,7 @@ import duckdb
 import pytest
 from conftest import SF
 
+from facetry.operators import inverted
 from facetry.operators import neighbours as nb
 from facetry.operators import similarity
 
@@ -44,3 +45,12 @@ def test_feature_without_score_is_absent(spark):
     rows = nb.sparse_rows(spark.createDataFrame(cells, "entity_id long, kind string, feature string, score double"))
     got = similarity.listed_pairs(rows, 0.8).collect()
     assert [(r["id"], r["neighbour_id"], round(r["value"], 6)) for r in got] == [(1, 2, 0.998752)]
+
+
+def test_similar_customers_compares_distinct_profiles(spark, doubled, monkeypatch):
+    joined = []
+    plain = inverted.similar_join
+    monkeypatch.setattr(inverted, "similar_join", lambda rows, *rest: (joined.append(rows.count()), plain(rows, *rest))[1])
+    got = same(spark, doubled, "similar_customers")
+    assert any(b - a == 1000000 for a, b, _ in got)
+    assert joined == [len({a for a, b, _ in got if b - a == 1000000})]  # one of each two copies
