@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from facetry.functions import color as C
 from facetry.operators import cells, grid
 
 
@@ -27,3 +29,17 @@ def test_pairs_within_a_radius(spark, monkeypatch, radius):
     rows = got.collect()
     assert len(rows) == len(want)
     assert {(x["node"], x["entity_id"]): round(x["distance"], 9) for x in rows} == pytest.approx(want, abs=1e-8)
+
+
+def test_colour_of_a_node_is_summed_where_its_sites_meet_it(spark):
+    nodes = places(spark, "node", [0.0, 0.0, 50.0], [0.0, 3.0, 0.0])
+    sites = places(spark, "entity_id", [0.1, 0.0, -0.2], [0.0, 1.0, 2.9]).selectExpr("*", "array('#ff0000', '#00ff00', '#0000ff')[entity_id] AS color")
+    out = grid.oklab_idw(nodes, sites, 1.5)
+    assert "MapInPandas" not in out._jdf.queryExecution().toString()
+    rows = {r["node"]: r for r in out.collect()}
+    assert {n: r["sites"] for n, r in rows.items()} == {0: 2, 1: 1}  # the third node has no site
+    lab = {r["entity_id"]: r for r in sites.select("entity_id", C.hex_to_oklab(F.col("color")).alias("p")).selectExpr("entity_id", "p.L", "p.a", "p.b").collect()}
+    degree = 6371.0 * np.pi / 180 / 111.0
+    w = 1 / (0.1 * degree + 0.001) ** 2, 1 / (1.0 * degree + 0.001) ** 2
+    assert rows[0]["L"] == pytest.approx((w[0] * lab[0]["L"] + w[1] * lab[1]["L"]) / sum(w))
+    assert rows[1]["a"] == pytest.approx(lab[2]["a"])
